@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .hilbert import shard_documents
+from .packing import pack
 from .secret_scan import secret_digest
+from .subword import quality_scores
+
+
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +25,15 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scan": op4_secret_scan,
     "op8_hilbert_shards": op8_hilbert_shards,
+    "op10_subword_quality": op10_subword_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
