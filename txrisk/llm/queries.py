@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .hilbert import shard_documents
 from .packing import pack
+from .pii import pii_digest
 from .secret_scan import secret_digest
 from .subword import quality_scores
 
@@ -21,6 +22,10 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -32,6 +37,7 @@ def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scan": op4_secret_scan,
+    "op5_pii_disclosure": op5_pii_disclosure,
     "op8_hilbert_shards": op8_hilbert_shards,
     "op10_subword_quality": op10_subword_quality,
 }
