@@ -11,6 +11,7 @@ from .hilbert import shard_documents
 from .packing import pack
 from .pii import pii_digest
 from .secret_scan import secret_digest
+from .simhash import simhash_components
 from .subword import quality_scores
 
 
@@ -26,6 +27,10 @@ def op5_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_digest(table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -38,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scan": op4_secret_scan,
     "op5_pii_disclosure": op5_pii_disclosure,
+    "op6_simhash_anchors": op6_simhash_anchors,
     "op8_hilbert_shards": op8_hilbert_shards,
     "op10_subword_quality": op10_subword_quality,
 }
