@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ann import search
 from .common import table
 from .hilbert import shard_documents
 from .packing import pack
@@ -13,6 +14,11 @@ from .pii import pii_digest
 from .secret_scan import secret_digest
 from .simhash import simhash_components
 from .subword import quality_scores
+from .url_filter import judge
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,16 +41,22 @@ def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"))
+
+
 def op10_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_filter": op1_url_filter,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_secret_scan": op4_secret_scan,
     "op5_pii_disclosure": op5_pii_disclosure,
     "op6_simhash_anchors": op6_simhash_anchors,
     "op8_hilbert_shards": op8_hilbert_shards,
+    "op9_multi_index": op9_multi_index,
     "op10_subword_quality": op10_subword_quality,
 }
 
