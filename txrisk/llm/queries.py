@@ -10,6 +10,7 @@ from .ann import search
 from .collisions import near_vectors
 from .common import table
 from .hilbert import shard_documents
+from .mixing import mix_plan
 from .packing import pack
 from .pii import pii_digest
 from .secret_scan import secret_digest
@@ -42,6 +43,10 @@ def op6_simhash_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_plan(table(spark, sf_dir, "documents"))
+
+
 def op8_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op5_pii_disclosure": op5_pii_disclosure,
     "op6_simhash_anchors": op6_simhash_anchors,
+    "op7_temperature_mixing": op7_temperature_mixing,
     "op8_hilbert_shards": op8_hilbert_shards,
     "op9_multi_index": op9_multi_index,
     "op10_subword_quality": op10_subword_quality,
