@@ -183,10 +183,11 @@ def _linked(rows: DataFrame, d: int, most: int, angle: float, cosine: float) ->
             u = unit(stacked(b["embedding"]))
             k = np.array([cells.depth(n) for n in b["n"]], np.int64)
             yield pd.DataFrame(
-                {"_row": b["_row"], "vec_id": b["vec_id"], "label": b["label"], "k": k, "cell": cells.of(u, k, 0), "u": [x.tobytes() for x in u]}
+                {"_row": b["_row"], "label": b["label"], "k": k, "cell": cells.of(u, k, 0), "u": [x.tobytes() for x in u]}
             )
 
-    rows = stash(rows.mapInPandas(coarse, "_row bigint, vec_id bigint, label int, k bigint, cell bigint, u binary"))
+    ids = rows.select("_row", "vec_id")  # they stay out of pandas, which has no integers with nulls
+    rows = stash(rows.drop("vec_id").mapInPandas(coarse, "_row bigint, label int, k bigint, cell bigint, u binary"))
     sizes = rows.groupBy("label", "cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     dealt = rows.join(sizes, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("_row"), F.col("blocks")))
 
@@ -197,14 +198,14 @@ def _linked(rows: DataFrame, d: int, most: int, angle: float, cosine: float) ->
         lead = [info[x] if x == r else None for x, r in zip(ball, row)]
         return pd.DataFrame(
             {
-                "_row": row, "vec_id": b["vec_id"], "label": b["label"], "k": b["k"], "u": b["u"], "ball": ball,
+                "_row": row, "label": b["label"], "k": b["k"], "u": b["u"], "ball": ball,
                 "size": [m and m[1] for m in lead], "radius": [m and m[2] for m in lead], "c": [m and m[3].tobytes() for m in lead],
             }
         )
 
     members = stash(
         dealt.groupBy("label", "cell", "block").applyInPandas(
-            balls, "_row bigint, vec_id bigint, label int, k bigint, u binary, ball bigint, size bigint, radius double, c binary"
+            balls, "_row bigint, label int, k bigint, u binary, ball bigint, size bigint, radius double, c binary"
         )
     )
     heads = members.where("size is not null").select("ball", "label", "size", "radius", "c")
@@ -271,7 +272,8 @@ def _linked(rows: DataFrame, d: int, most: int, angle: float, cosine: float) ->
 
     joined = components(whole.union(listed.select("a", "b"))).select(F.col("id").alias("ball"), "component")
     per_row = (
-        members.select("_row", "vec_id", "ball")
+        members.select("_row", "ball")
+        .join(ids, "_row")
         .join(size, "ball")
         .join(by_ball, "ball", "left")
         .join(joined, "ball", "left")

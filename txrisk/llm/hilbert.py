@@ -14,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -70,14 +70,15 @@ def hilbert_shards(rows: DataFrame, dims: list[str], n_shards: int, bits: int =
     cuts = [k / steps for k in range(1, steps)]
     edges = rows.agg(*[F.percentile_approx(d, cuts, 2000).alias(d) for d in dims]).first()
     cut = [sorted(set(edges[d] or [])) for d in dims]
-    schema = f"{rows.drop('_row').schema.simpleString()[7:-1]},_row:bigint,hilbert:bigint"
+    schema = f"{rows.schema.simpleString()[7:-1]},hilbert:bigint"
 
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cells = np.stack([np.searchsorted(np.asarray(c, float), b[d].to_numpy(float), side="left") for d, c in zip(dims, cut)], 1)
-            yield b.assign(hilbert=hilbert_index(cells, bits) if len(b) else np.zeros(0, np.int64))
+            cells = [np.searchsorted(np.asarray(c, float), b.column(d).to_numpy().astype(float), side="left") for d, c in zip(dims, cut)]
+            turn = hilbert_index(np.stack(cells, 1), bits)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(turn)], [*b.schema.names, "hilbert"])
 
-    curve = rows.mapInPandas(index, schema)
+    curve = rows.mapInArrow(index, schema)
     order = ["hilbert", "text_crc32", "doc_id", "_row"]
     sorted_rows = stash(
         curve.repartitionByRange(partitions(spark), *order)

@@ -60,7 +60,7 @@ def _clog(c: Column) -> Column:
 
 
 def high_entropy(run: Column, cls: CharClass) -> Column:
-    """``struct(first, last)``: the 0-based extent of all windows of ``run`` that reach ``cls.bits``.
+    """``struct(s, first, last)``: the 0-based extent, after the last window's sum, of all windows of ``run`` that reach ``cls.bits``.
 
     ``first`` is -1 when no window does.
     """
