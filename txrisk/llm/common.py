@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +62,22 @@ def whole(text: Column) -> Column:
 def text_key(text: Column) -> Column:
     """A key of a text that makes a row's key unique even where ``doc_id`` repeats."""
     return F.struct(F.xxhash64(text).alias("h"), F.length(text).alias("n"))
+
+
+#: Rows of whole texts, or of sets as long as texts, in one Arrow batch.
+TEXT_ROWS = 512
+
+
+def text_batches(spark: SparkSession) -> None:
+    """From now on this session hands rows to Python in batches small enough for texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > TEXT_ROWS:
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """Short runs of Arrow batches, so that few texts are Python objects at a time."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)

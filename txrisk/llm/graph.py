@@ -2,7 +2,8 @@
 
 Records (anchor, id, home, ...) say that two ids may be linked if they share an anchor at which at
 least one of them is at home.  A group at one anchor can be a large part of all rows, so its pairs are
-never listed: first each member is compared with its anchor's leader; then, only where members of one
+never listed: first each member is compared with
+the least of its anchors' leaders; then, only where members of one
 anchor are still apart, those outside the leader's component are compared with the whole anchor.
 No pair of different components goes uncompared, so the components are exact.
 """
@@ -40,16 +41,21 @@ def anchored_components(
     records: DataFrame,
     close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     verify: Callable[[DataFrame], DataFrame] | None = None,
+    payload: DataFrame | None = None,
 ) -> DataFrame:
     """(id, component) of the ids that have a link.
 
-    ``records``: anchor, id, home and the columns that ``close(x, y)`` compares, where ``x`` and ``y``
-    give a record's column by name.  ``verify`` keeps the true links of a table (a, b).
+    ``records``: anchor, id, home.  ``close(x, y)`` compares two records, where ``x`` and ``y`` give a
+    column by name, of ``payload`` (by id) too: it is joined only to records that share their anchor.
+    ``verify`` keeps the true links of a table (a, b).
     """
     verify = verify or (lambda e: e)
     shared = records.groupBy("anchor").agg(F.min(F.when(F.col("home"), F.col("id"))).alias("leader"), F.count("*").alias("n"))
     shared = shared.where("n > 1 and leader is not null").drop("n")
-    met = stash(records.join(shared, "anchor"))
+    met = records.join(shared, "anchor")
+    if payload is not None:
+        met = stash(met).join(payload, "id")
+    met = stash(met)
     left = lambda c: F.col(f"l.{c}")
     right = lambda c: F.col(f"r.{c}")
 
@@ -57,8 +63,8 @@ def anchored_components(
     first = (
         met.alias("l")
         .join(leaders.alias("r"), (left("anchor") == right("anchor")) & (left("id") != right("id")) & close(left, right))
-        .select(left("id").alias("a"), right("id").alias("b"))
-        .distinct()
+        .groupBy(left("id").alias("a"))
+        .agg(F.min(right("id")).alias("b"))
     )
     first = stash(verify(stash(first)))
     known = components(first)

@@ -19,10 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import slices, stash, text_batches
 from .tokens import encoder, tokenizer_path
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -58,18 +59,19 @@ def pieces(docs: DataFrame, how: Packing, path: str | None = None) -> DataFrame:
     path = path or tokenizer_path()
     end = np.array([how.end_id], "<u4").tobytes()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        for b in batches:
-            rows = [
-                (i, *p) for i, t in enumerate(b["text"]) for p in cut((enc.encode(t) if t else b"") + end, how.tokens)
-            ]
+        for b in slices(batches):
+            texts = b.column("text").to_pylist()
+            rows = [(i, *p) for i, t in enumerate(texts) for p in cut((enc.encode(t) if t else b"") + end, how.tokens)]
             at, piece, start, length, crc = (np.array(c, np.int64) for c in (zip(*rows) if rows else [[]] * 5))
-            yield pd.DataFrame(
-                {"doc_id": b["doc_id"].take(at).array, "piece": piece.astype(np.int32), "start": start, "length": length, "ids_crc32": crc}
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id").take(pa.array(at)), *map(pa.array, (piece.astype(np.int32), start, length, crc))],
+                ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInPandas(run, PIECES)
+    text_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PIECES)
 
 
 def best_fit(lengths: np.ndarray, how: Packing) -> tuple[np.ndarray, np.ndarray]:
@@ -117,4 +119,8 @@ def pack(docs: DataFrame, how: Packing = Packing(), path: str | None = None) ->
         bins, offsets = best_fit(b["length"].to_numpy(), how)
         return b.drop(columns=["_row", "_group"]).assign(sequence_id=(b["_group"].to_numpy() << 32) + bins, offset=offsets)
 
-    return dealt.groupBy("_group").applyInPandas(fill, f"{PIECES}, sequence_id bigint, offset bigint")
+    # Ids pass pandas as text: it has no 64-bit integers with nulls.
+    dealt = dealt.withColumn("doc_id", F.col("doc_id").cast("string"))
+    schema = PIECES.replace("doc_id bigint", "doc_id string")
+    packed = dealt.groupBy("_group").applyInPandas(fill, f"{schema}, sequence_id bigint, offset bigint")
+    return packed.withColumn("doc_id", F.col("doc_id").cast("bigint"))

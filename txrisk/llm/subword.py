@@ -17,15 +17,16 @@ inputs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole
+from .common import text_batches, whole
 
 BUCKETS = 1 << 17
 NGRAMS = (3, 4)
@@ -153,7 +154,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int = 8
 
 
 #: Texts are scored together up to so many bytes.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 
 
 def score_texts(texts: list[bytes], table: np.ndarray, bias: float) -> np.ndarray:
@@ -166,7 +167,7 @@ def score_texts(texts: list[bytes], table: np.ndarray, bias: float) -> np.ndarra
     return 1 / (1 + np.exp(-np.clip(mean + bias, -500, 500)))
 
 
-def chunks(texts: list[bytes]) -> Iterator[list[bytes]]:
+def chunks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
     held, size = [], 0
     for t in texts:
         held.append(t)
@@ -197,6 +198,7 @@ def sample_bags(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) ->
     if not chosen:
         return [], np.zeros(0, np.int64)
     spark = docs.sparkSession
+    text_batches(spark)
     rows = spark.createDataFrame(sorted(chosen.items()), "doc_id bigint, y int")
     texts = (
         docs.select(F.col("doc_id").cast("bigint"), whole(F.col("text")).alias("text"))
@@ -223,14 +225,15 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
     """``docs`` with a score of every whole text."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.table, model.bias))  # fixed size
 
-    @F.pandas_udf("double")
-    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table, bias = shared.value
         for t in texts:
-            out = [score_texts(c, table, bias) for c in chunks([(x or "").encode() for x in t])]
-            yield pd.Series(np.concatenate(out) if out else [], dtype=float)
+            out = [score_texts(c, table, bias) for c in chunks((x.as_py() or "").encode() for x in t)]
+            yield pa.array(np.concatenate(out) if out else np.zeros(0))
 
     return docs.withColumn(score_col, score(F.col(f"`{text_col}`")))
 

@@ -16,7 +16,7 @@ import regex
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Control characters that str.split() takes as white space and the tokenizer does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
-WORDS_KEPT = 600_000
+WORDS_KEPT = 200_000
 
 _encoders: dict[str, WordEncoder] = {}
 
