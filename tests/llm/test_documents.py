@@ -189,7 +189,9 @@ def test_near_copies(spark, docs, nothing):
     assert simhash.drop_near_duplicates(nothing).count() == 0
 
 
-def test_near_copies_chain(spark):
+@pytest.mark.parametrize("block", [1024, 6])
+def test_near_copies_chain(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "CLUSTER_BLOCK", block)
     rng = np.random.default_rng(5)
     texts, text = [], rng.choice(WORDS, 300).tolist()
     for k in range(25):  # each is near the one before, the ends are far apart

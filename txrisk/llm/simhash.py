@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices, stash, text_batches, whole
-from .graph import anchored_components
+from .graph import anchored_clusters, anchored_components, components
 
 ROWS_AT_A_TIME = 1 << 15
 
@@ -176,6 +176,19 @@ def sketch(text: bytes, words: int = SKETCH_WORDS) -> np.ndarray:
     return _pack(2 * _votes(out, words) > len(h))
 
 
+#: Words of 64 bits that hold one bit of the least shingle of each bin.
+MIN_WORDS = 8
+
+
+def least_bits(hashes: np.ndarray) -> np.ndarray:
+    """One-bit MinHash by bins: pairs of similarity j differ in about (1 - j) / 2 of the bins in use."""
+    bins = 64 * MIN_WORDS
+    x = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+    least = np.full(bins, np.uint64(0xFFFFFFFFFFFFFFFF))
+    np.minimum.at(least, (x >> np.uint64(55)).astype(np.int64), (x << np.uint64(9)) >> np.uint64(9))
+    return _pack((least >> np.uint64(20)) & np.uint64(1) & (least != np.uint64(0xFFFFFFFFFFFFFFFF)))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(row, keep, component): ``docs`` must have unique ``_row`` numbers beside ``doc_id`` and ``text``.
 
@@ -184,6 +197,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     """
 
     words = [f"w{k}" for k in range(SKETCH_WORDS)]
+    minima = [f"m{k}" for k in range(MIN_WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
@@ -194,15 +208,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
             h1 = np.array([x & (2**64 - 1) for x in h], np.uint64).view(np.int64)
             h2 = np.array([x >> 64 for x in h], np.uint64).view(np.int64)
             own = np.array([sketch(t) for t in texts], np.uint64).view(np.int64).reshape(-1, SKETCH_WORDS)
-            n = np.array([len(set(shingles(t, size))) for t in texts], np.int64)
+            sets = [np.unique(shingle_hashes(t, size)) for t in texts]
+            n = np.array([len(x) for x in sets], np.int64)
+            least = np.array([least_bits(x) for x in sets], np.uint64).view(np.int64).reshape(-1, MIN_WORDS)
             yield pa.RecordBatch.from_arrays(
-                [b.column("_row"), *map(pa.array, (h1, h2, n)), *[pa.array(own[:, k]) for k in range(SKETCH_WORDS)]], ["_row", "h1", "h2", "n", *words]
+                [b.column("_row"), *map(pa.array, (h1, h2, n)), *[pa.array(x) for x in (*own.T.copy(), *least.T.copy())]],
+                ["_row", "h1", "h2", "n", *words, *minima],
             )
 
     text_batches(docs.sparkSession)
-    schema = "_row bigint, h1 bigint, h2 bigint, n bigint, " + ", ".join(f"{w} bigint" for w in words)
+    schema = "_row bigint, h1 bigint, h2 bigint, n bigint, " + ", ".join(f"{w} bigint" for w in words + minima)
     sketched = stash(docs.select("_row", "text").mapInArrow(run, schema))
-    members = stash(sketched.groupBy("h1", "h2").agg(F.min("_row").alias("id"), F.min("n").alias("n"), *[F.min(w).alias(w) for w in words]))
+    members = stash(sketched.groupBy("h1", "h2").agg(F.min("_row").alias("id"), F.min("n").alias("n"), *[F.min(w).alias(w) for w in words + minima]))
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -210,38 +227,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
                 part = b.iloc[lo : lo + 2048]
                 yield anchor_records(part["id"].to_numpy(np.int64), np.ascontiguousarray(part[words].to_numpy(np.int64)).view(np.uint64))
 
-    def verify(edges: DataFrame) -> DataFrame:
-        ids = edges.select(F.col("a").alias("_row")).union(edges.select(F.col("b").alias("_row"))).distinct()
-
-        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in slices(batches):
-                own = [np.unique(shingle_hashes((t or "").encode(), size) ).tobytes() for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(own, pa.binary())], ["_row", "own"])
-
-        held = stash(docs.select("_row", "text").join(ids, "_row", "left_semi").mapInArrow(sets, "_row bigint, own binary"))
-        x, y = held.select(F.col("_row").alias("a"), F.col("own").alias("x")), held.select(F.col("_row").alias("b"), F.col("own").alias("y"))
-
-        def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                ok = np.zeros(len(b), bool)
-                for i, (p, q) in enumerate(zip(b["x"], b["y"])):
-                    p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
-                    if min(len(p), len(q)) < similarity * max(len(p), len(q)):
-                        continue
-                    common = len(np.intersect1d(p, q, assume_unique=True))
-                    ok[i] = common >= similarity * (len(p) + len(q) - common) and common > 0
-                yield b.loc[ok, ["a", "b"]]
+    def close(p: Callable[[str], Column], q: Callable[[str], Column]) -> Column:
+        most = F.greatest(p("n"), q("n"))
 
-        return edges.join(x, "a").join(y, "b").mapInPandas(judge, "a bigint, b bigint")
+        def differ(of: list[str]) -> Column:
+            return reduce(operator.add, [F.bit_count(p(w).bitwiseXOR(q(w))) for w in of])
 
-    def close(p: Callable[[str], Column], q: Callable[[str], Column]) -> Column:
-        apart = reduce(operator.add, [F.bit_count(p(w).bitwiseXOR(q(w))) for w in words])
+        # Bins that hold a shingle of either, a share of which differs in its least bit by chance.
+        bins = 64 * MIN_WORDS * (1 - F.exp(-1.25 * most / (64.0 * MIN_WORDS)))
+        share = (1 - similarity) / 2
+        expected = share * bins + 4 * F.sqrt(share * (1 - share) * bins) + 1
         # Sets of very unlike sizes cannot reach the similarity.
-        return (F.least(p("n"), q("n")) >= similarity * F.greatest(p("n"), q("n"))) & (apart <= CHECK_BITS)
+        return (F.least(p("n"), q("n")) >= similarity * most) & (differ(words) <= CHECK_BITS) & (differ(minima) <= expected)
 
-    sketches = members.select("id", "n", *words)
-    found = sketches.drop("n").mapInPandas(records, RECORD)
-    linked = anchored_components(found, close, verify, sketches)
+    sketches = members.select("id", "n", *words, *minima)
+    found = sketches.select("id", *words).mapInPandas(records, RECORD)
+    clusters = stash(anchored_clusters(found, close, sketches))
+    links = _links_of_clusters(clusters, docs, size, similarity)
+    linked = components(links)
     named = members.join(linked, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
     rows = sketched.select("_row", "h1", "h2").join(named, ["h1", "h2"]).select("_row", "component")
     rows = rows.join(docs.select("_row", "doc_id"), "_row")
@@ -249,6 +252,89 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     return rows.join(best, "component").select("_row", "component", (F.col("_row") == F.col("best")).alias("keep"))
 
 
+#: Members of a cluster that one task compares with as many others, and members of small clusters in one task.
+CLUSTER_BLOCK = 1024
+
+
+def _links_of_clusters(clusters: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """Links (a, b) that connect the members of each cluster as all its links would.
+
+    A cluster is compared in pairs of blocks of bounded size, on whole shingle sets.  A block pair keeps
+    its own components and hands on a spanning forest, never a row for each pair.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            own = [np.unique(shingle_hashes((t or "").encode(), size)).tobytes() for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(own, pa.binary())], ["_row", "own"])
+
+    counts = clusters.groupBy("component").agg(F.count("*").alias("n"))
+    total = clusters.count()
+    members = clusters.join(counts, "component").withColumn("parts", F.ceil(F.col("n") / CLUSTER_BLOCK))
+    buckets = max(1, -(-total // CLUSTER_BLOCK))
+    held = docs.select("_row", "text").join(clusters.select(F.col("id").alias("_row")), "_row", "left_semi")
+    held = stash(held.mapInArrow(sets, "_row bigint, own binary")).withColumnRenamed("_row", "id")
+    dealt = (
+        members.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")))
+        .withColumn("with", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+        .withColumns(
+            {
+                # Small clusters share a task; large ones have one for each pair of blocks.
+                "task": F.when(F.col("parts") == 1, F.pmod(F.xxhash64("component"), F.lit(buckets))).otherwise(-1 - F.col("component")),
+                "lo": F.least("part", "with"),
+                "hi": F.greatest("part", "with"),
+            }
+        )
+        .join(held, "id")
+    )
+
+    def compare(b: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, c in b.groupby("component", sort=True):
+            if len(c) > 1:
+                out += forest(c["id"].to_numpy(), c["part"].to_numpy(), [np.frombuffer(x, "<u8") for x in c["own"]], similarity)
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    columns = dealt.select("task", "lo", "hi", "component", "id", "part", "own")
+    return columns.groupBy("task", "lo", "hi").applyInPandas(compare, "a bigint, b bigint")
+
+
+def forest(ids: np.ndarray, part: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links of similar sets that connect what all links would; with two parts, of pairs between them."""
+    up = list(range(len(ids)))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    n = np.array([len(s) for s in sets])
+    # Counts of common shingles of one member with all others, over the members' joined sets.
+    every, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(code, kind="stable")
+    holders, first = owner[order], np.searchsorted(code[order], np.arange(len(every) + 1))
+    at = np.concatenate([[0], np.cumsum(n)])
+    two = len(np.unique(part)) > 1
+    out = []
+    for i in range(len(sets)):
+        if not n[i]:
+            continue
+        if len(out) == len(sets) - 1:
+            break  # all are connected
+        own = code[at[i] : at[i + 1]]
+        common = np.bincount(np.concatenate([holders[first[k] : first[k + 1]] for k in own]), minlength=len(sets))
+        near = np.flatnonzero(common >= similarity * (n + n[i] - common))
+        near = near[near > i]
+        for j in near[part[near] != part[i]] if two else near:
+            x, y = top(i), top(int(j))
+            if x != y:
+                up[max(x, y)] = min(x, y)
+                out.append((int(ids[i]), int(ids[j])))
+    return out
+
+
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """``docs`` with one row of each component; columns as they were."""
     packed = docs.select(F.struct("*").alias("r"), F.col("doc_id"), whole(F.col("text")).alias("text"))
