@@ -66,13 +66,15 @@ def anchored_components(
         .groupBy(left("id").alias("a"))
         .agg(F.min(right("id")).alias("b"))
     )
-    first = stash(verify(stash(first)))
+    tried = stash(first)
+    first = stash(verify(tried))
     known = components(first)
 
     label = known.withColumnRenamed("component", "label")
     labelled = met.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
     chief = label.select(F.col("id").alias("leader"), F.col("label").alias("chief"))
-    labelled = stash(labelled.join(chief, "leader", "left").withColumn("chief", F.coalesce("chief", "leader")))
+    labelled = labelled.join(chief, "leader", "left").withColumn("chief", F.coalesce("chief", "leader"))
+    labelled = stash(labelled.join(tried.select(F.col("a").alias("id"), F.col("b").alias("tried")), "id", "left"))
     apart = stash(labelled.where("label <> chief"))
     second = (
         apart.alias("l")
@@ -81,7 +83,7 @@ def anchored_components(
             (left("anchor") == right("anchor"))
             & (left("label") != right("label"))
             & (left("home") | right("home"))
-            & (right("id") != right("leader"))
+            & ~left("tried").eqNullSafe(right("id"))
             & close(left, right),
         )
         .select(F.least(left("id"), right("id")).alias("a"), F.greatest(left("id"), right("id")).alias("b"))
@@ -92,39 +94,3 @@ def anchored_components(
     if not more.limit(1).count():
         return known
     return components(first.select("a", "b").union(more.select("a", "b")))
-
-
-def anchored_clusters(
-    records: DataFrame, close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column], payload: DataFrame, turns: int = 2
-) -> DataFrame:
-    """(id, component): clusters such that any two close records of one anchor are in one cluster.
-
-    As ``anchored_components``, but closeness is only a screen: each anchor's members are compared with
-    a few leaders, chosen by id and by hash, and what is close is joined; pairs that are still in two
-    clusters are then looked for in full, and hardly any are left.
-    """
-    shared = records.groupBy("anchor").agg(F.max("home").alias("h"), F.count("*").alias("n")).where("n > 1 and h").select("anchor")
-    met = stash(stash(records.join(shared, "anchor")).join(payload, "id"))
-    left = lambda c: F.col(f"l.{c}")
-    right = lambda c: F.col(f"r.{c}")
-    every = [c for c in met.columns if c != "anchor"]
-    edges = None
-    for turn in range(turns):
-        chosen = met.where("home").groupBy("anchor").agg(F.min(F.struct(F.xxhash64("id", F.lit(turn)).alias("_h"), *every)).alias("c")).select("anchor", "c.*")
-        near = met.alias("l").join(chosen.alias("r"), (left("anchor") == right("anchor")) & (left("id") != right("id")) & close(left, right))
-        near = near.select(left("id").alias("a"), right("id").alias("b")).distinct()
-        edges = near if edges is None else edges.union(near)
-    edges = stash(edges)
-    known = components(edges)
-    labelled = met.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    chief = labelled.groupBy("anchor").agg(F.min("component").alias("chief"), F.max("component").alias("other")).where("chief <> other")
-    labelled = stash(labelled.join(chief.select("anchor", "chief"), "anchor"))
-    apart = (left("component") != right("component")) & (left("home") | right("home"))
-    more = (
-        labelled.where("component <> chief").alias("l")
-        .join(labelled.alias("r"), (left("anchor") == right("anchor")) & apart & close(left, right))
-        .select(left("id").alias("a"), right("id").alias("b"))
-        .distinct()
-    )
-    more = stash(more)
-    return known if not more.limit(1).count() else components(edges.union(more))
