@@ -205,6 +205,25 @@ def test_near_copies_chain(spark):
     assert {r["doc_id"] for r in simhash.drop_near_duplicates(d).collect()} == {i for i, c in want.items() if i == c}
 
 
+def test_copies_with_another_tail_are_met(spark):
+    rng, rows, linked = np.random.default_rng(5), [], set()
+    words = np.array([f"w{k}" for k in range(20_000)])
+    draw = lambda n: words[np.minimum(rng.zipf(1.3, n), len(words)) - 1].tolist()
+    for k in range(120):
+        n = int(rng.integers(100, 400))
+        w = draw(n)
+        more, run = draw(n // 5), n // 10
+        copy = [w + more, w[: n - n // 6], w[: n // 2] + draw(run) + w[n // 2 + run :]][k % 3]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(copy))]
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (w, copy))
+        if len(x & y) >= 0.8 * len(x | y):
+            linked.add(2 * k + 1)
+    assert len(linked) > 60
+    d = spark.createDataFrame([(i, t, None, None, 1) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r["doc_id"] for r in simhash.drop_near_duplicates(d).collect()}
+    assert kept == {i for i, _ in rows} - linked
+
+
 def brute_ids(texts):
     from tokenizers import Tokenizer
 

@@ -16,14 +16,13 @@ repeated rows share a component; null ids never are a component's name unless al
 
 from __future__ import annotations
 
-import operator
+import math
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import slices, stash, text_batches, whole
@@ -146,34 +145,53 @@ def simhash_components(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFra
 
 
 # Near copies of whole texts: word shingles of five, similarity (Jaccard) of 0.8 or more.
+#
+# Order the shingles of all texts in one way.  If x has n shingles and shares c with y, their first common
+# shingle is among the first n - c + 1 of x.  Similarity s needs c >= s / (1 + s) * (n + m), which is
+# s * n at least, and 2 s / (1 + s) * m at least for the smaller set of m.  So a pair meets at a shingle
+# in the first n - s * n + 1 of the larger set that the smaller one has among fewer still, its home: no
+# pair is missed, whatever the order.  An order by rarity makes few others meet.
 
-#: Words of 64 bits in the sketch that finds candidates; each has two segments.
-SKETCH_WORDS = 8
-#: Candidates differ in at most so many of the 512 bits of the sketch: near copies differ in about 35
-#: (standard deviation 6) at similarity 0.8 if edits are spread, and in about 75 if they are one run of
-#: words; unlike texts in about 200.
-CHECK_BITS = 88
+#: Texts of the sample that tells which shingles are frequent, and the most frequent ones that are held.
+#: Both bear on the order alone, and so on how many pairs are compared but not on which are found.
+ORDER_ROWS = 20_000
+ORDER_SHINGLES = 200_000
+#: So many row numbers are broadcast (about 16 MB), more are shuffled.
+SMALL_ROWS = 1_000_000
 
 
-def sketch(text: bytes, words: int = SKETCH_WORDS) -> np.ndarray:
-    """SimHash of several words over the set of single words.
+def least_common(similarity: float, n: int, m: int) -> int:
+    """Shingles that sets of n and m have in common at least, if they are that similar."""
+    return math.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
 
-    An edit changes five shingles but one word, so single words keep near copies together at far
-    fewer differing bits; whether two texts are near copies is decided on their shingles.
-    """
-    from xxhash import xxh64_intdigest
 
-    own = set(text.lower().split())
-    if not own:
-        return np.zeros(words, "<u8")
-    h = np.fromiter((xxh64_intdigest(w) for w in own), np.uint64, len(own))
-    out = np.empty((len(h), words), "<u8")
-    for k in range(words):
-        x = h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        out[:, k] = x ^ (x >> np.uint64(31))
-    return _pack(2 * _votes(out, words) > len(h))
+def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, count): the shingles that stand in three or more texts of a sample, by hash."""
+    share = min(1.0, ORDER_ROWS / max(1, docs.count()))
+    some = docs.where(F.pmod(F.xxhash64("_row"), F.lit(1 << 20)) < int(share * (1 << 20)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            own = [np.unique(shingle_hashes((t or "").encode(), size)) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).astype("<u8").view(np.int64))], ["shingle"])
+
+    n = some.select("text").mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n"))
+    top = n.where("n > 2").orderBy(F.desc("n"), "shingle").limit(ORDER_SHINGLES).toPandas()
+    shingle, count = top["shingle"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    order = np.argsort(shingle)
+    return shingle[order], count[order]
+
+
+def first_shingles(own: np.ndarray, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
+    """(first shingles, homes among them) of a sorted set: the rare before the frequent, equals by hash."""
+    n, (shingle, count) = len(own), often
+    if not n:
+        return own, 0
+    most = n - math.ceil(similarity * n - 1e-9) + 1
+    if len(shingle):
+        at = np.minimum(np.searchsorted(shingle, own), len(shingle) - 1)
+        own = own[np.argsort(np.where(shingle[at] == own, count[at], 0), kind="stable")]
+    return own[:most], n - least_common(similarity, n, n) + 1
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -183,42 +201,50 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     from ``similarity``; of each component the row with the smallest id, then row number, is kept.
     """
 
-    words = [f"w{k}" for k in range(SKETCH_WORDS)]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
 
         for b in slices(batches):
-            texts = [b" ".join((t or "").encode().lower().split()) for t in b.column("text").to_pylist()]
-            h = [xxh3_128_intdigest(t) for t in texts]
+            h = [xxh3_128_intdigest(b" ".join((t or "").encode().lower().split())) for t in b.column("text").to_pylist()]
             h1 = np.array([x & (2**64 - 1) for x in h], np.uint64).view(np.int64)
             h2 = np.array([x >> 64 for x in h], np.uint64).view(np.int64)
-            own = np.array([sketch(t) for t in texts], np.uint64).view(np.int64).reshape(-1, SKETCH_WORDS)
-            n = np.array([len(set(shingles(t, size))) for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("_row"), *map(pa.array, (h1, h2, n)), *[pa.array(own[:, k]) for k in range(SKETCH_WORDS)]], ["_row", "h1", "h2", "n", *words]
-            )
+            yield pa.RecordBatch.from_arrays([b.column("_row"), *map(pa.array, (h1, h2))], ["_row", "h1", "h2"])
 
     text_batches(docs.sparkSession)
-    schema = "_row bigint, h1 bigint, h2 bigint, n bigint, " + ", ".join(f"{w} bigint" for w in words)
-    sketched = stash(docs.select("_row", "text").mapInArrow(run, schema))
-    members = stash(sketched.groupBy("h1", "h2").agg(F.min("_row").alias("id"), F.min("n").alias("n"), *[F.min(w).alias(w) for w in words]))
+    hashed = stash(docs.select("_row", "text").mapInArrow(run, "_row bigint, h1 bigint, h2 bigint"))
+    members = stash(hashed.groupBy("h1", "h2").agg(F.min("_row").alias("id")))
 
-    def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for lo in range(0, len(b), 2048):
-                part = b.iloc[lo : lo + 2048]
-                yield anchor_records(part["id"].to_numpy(np.int64), np.ascontiguousarray(part[words].to_numpy(np.int64)).view(np.uint64))
+    def texts_of(ids: DataFrame) -> DataFrame:
+        # Few numbers are broadcast, so that texts stay where they are.
+        return docs.select("_row", "text").join(F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids, "_row", "left_semi")
+
+    texts = texts_of(members.select(F.col("id").alias("_row")))
+    often = docs.sparkSession.sparkContext.broadcast(frequent(texts, size))
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            own = [np.unique(shingle_hashes((t or "").encode(), size)) for t in b.column("text").to_pylist()]
+            first = [first_shingles(x, similarity, often.value) for x in own]
+            long = np.array([len(x) for x, _ in first])
+            pos = np.concatenate([np.arange(k) for k in long]).astype(np.int32)
+            cols = [
+                np.concatenate([x for x, _ in first]).astype("<u8").view(np.int64),
+                np.repeat(b.column("_row").to_numpy(), long),
+                pos < np.repeat([k for _, k in first], long),
+                pos,
+                np.repeat(np.array([len(x) for x in own], np.int32), long),
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["anchor", "id", "home", "pos", "n"])
 
     def verify(edges: DataFrame) -> DataFrame:
-        ids = edges.select(F.col("a").alias("_row")).union(edges.select(F.col("b").alias("_row"))).distinct()
+        ids = stash(edges.select(F.col("a").alias("_row")).union(edges.select(F.col("b").alias("_row"))).distinct())
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
-                own = [np.unique(shingle_hashes((t or "").encode(), size) ).tobytes() for t in b.column("text").to_pylist()]
+                own = [np.unique(shingle_hashes((t or "").encode(), size)).tobytes() for t in b.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(own, pa.binary())], ["_row", "own"])
 
-        held = stash(docs.select("_row", "text").join(ids, "_row", "left_semi").mapInArrow(sets, "_row bigint, own binary"))
+        held = stash(texts_of(ids).mapInArrow(sets, "_row bigint, own binary"))
         x, y = held.select(F.col("_row").alias("a"), F.col("own").alias("x")), held.select(F.col("_row").alias("b"), F.col("own").alias("y"))
 
         def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -235,15 +261,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
         return edges.join(x, "a").join(y, "b").mapInPandas(judge, "a bigint, b bigint")
 
     def close(p: Callable[[str], Column], q: Callable[[str], Column]) -> Column:
-        apart = reduce(operator.add, [F.bit_count(p(w).bitwiseXOR(q(w))) for w in words])
-        # Sets of very unlike sizes cannot reach the similarity.
-        return (F.least(p("n"), q("n")) >= similarity * F.greatest(p("n"), q("n"))) & (apart <= CHECK_BITS)
-
-    sketches = members.select("id", "n", *words)
-    found = sketches.drop("n").mapInPandas(records, RECORD)
-    linked = anchored_components(found, close, verify, sketches)
+        # Enough shingles must be left from here on: that holds at the first one that a true pair has in common.
+        left = F.least(p("n") - p("pos"), q("n") - q("pos"))
+        need = F.lit(similarity / (1 + similarity)) * (p("n") + q("n")) - 1e-9
+        return (F.least(p("n"), q("n")) >= similarity * F.greatest(p("n"), q("n")) - 1e-9) & (left >= need)
+
+    found = texts.mapInArrow(records, "anchor bigint, id bigint, home boolean, pos int, n int")
+    # Most shingles stand in one text; a text has one record at an anchor, so no anchor holds a large part of them.
+    met = found.withColumn("_met", F.count("*").over(Window.partitionBy("anchor"))).where("_met > 1").drop("_met")
+    linked = anchored_components(stash(met), close, verify)
     named = members.join(linked, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
-    rows = sketched.select("_row", "h1", "h2").join(named, ["h1", "h2"]).select("_row", "component")
+    rows = hashed.join(named, ["h1", "h2"]).select("_row", "component")
     rows = rows.join(docs.select("_row", "doc_id"), "_row")
     best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))["_row"].alias("best"))
     return rows.join(best, "component").select("_row", "component", (F.col("_row") == F.col("best")).alias("keep"))
