@@ -132,6 +132,22 @@ def test_disclosure(spark):
     assert "zanzibar" not in clean[0] and "<EMAIL>" in clean[0] and "plumber" in clean[0] and clean[10] == rows[2][1]
 
 
+def test_disclosure_of_a_value_in_one_text_and_far_away(spark):
+    far = " ".join(["common filler words"] * 40)
+    rows = [(0, f"Xanadu {far} mail bob@example.org {far} again XANADU {far} end", None, None, 1)]
+    rows += [(k, f"{far} mail again end", None, None, 1) for k in range(1, 10)]
+    d = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spans = {r["doc_id"]: r["spans"] for r in pii.pii_digest(d).collect()}
+    text = rows[0][1]
+    at = [m.start() for m in re.finditer("xanadu", text.lower())]
+    # One text holds both: N = 10, co = df(t) = df(e) = 1, a disclosure of 1; the other words are everywhere.
+    mail = text.index("bob@")
+    assert spans[0].split(",") == [f"term_removed:{at[0]}:{at[0] + 6}", f"email:{mail}:{mail + 15}", f"term_removed:{at[1]}:{at[1] + 6}"]
+    assert all(not s for i, s in spans.items() if i)
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(d).collect()}
+    assert "xanadu" not in clean[0].lower() and "<EMAIL>" in clean[0]
+
+
 def brute_fingerprint(s, size=3):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in s or ""))
     sh = [" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []

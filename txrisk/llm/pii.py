@@ -1,15 +1,18 @@
 """Personal data: fixed patterns, and terms that reveal what the patterns protect.
 
 Base spans are e-mail addresses, IP addresses, payment cards and phone numbers.  Each distinct base
-value is a protected entity.  Terms near an entity may reveal it: over the whole corpus, with N
-documents, df(t) documents that hold the term, df(e) that hold the entity and co(t, e) in which the
-term stands in the entity's context, the disclosure of e by t is
+value is a protected entity.  Terms of a document that holds an entity may reveal it: over the whole
+corpus, with N documents, df(t) documents that hold the term, df(e) that hold the entity and co(t, e)
+that hold the entity and the term outside of its base spans, the disclosure of e by t is
 
     log2(N * co / (df(t) * df(e))) / log2(N / df(e)),
 
 the share of the entity's information that the term gives away; 1 means that the term is only seen
-with it.  A term is generalised from ``GENERALISE`` and removed from ``REMOVE``, if the two meet in at
-least ``SUPPORT`` different texts (one meeting is no evidence).
+with it.  A term is generalised from ``GENERALISE`` and removed from ``REMOVE``, wherever it stands in a
+document that holds the entity.  Every pair is judged, also one that meets in a single document.
+
+Since co is df(e) at most, a term with df(t) > df(e) * (N / df(e)) ** (1 - GENERALISE) reaches
+``GENERALISE`` with no entity of that df(e); such pairs, which are most, are left out before counting.
 
 All of it is column expressions and joins.  Null and empty texts have no spans; rows that repeat count
 as often as they occur and get the same spans; a null ``doc_id`` is an id like any other.
@@ -32,10 +35,7 @@ PHONE = "\\+[0-9][\\x20().0-9-]+[0-9]"
 PART = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 BASE_KINDS = ("email", "ip", "card", "phone")
 
-CONTEXT_CHARS = 64
-CONTEXT_TERMS = 5
 TERM = "\\p{L}{3,}"
-SUPPORT = 2
 GENERALISE = 0.5
 REMOVE = 0.8
 #: A joined side is broadcast up to so many rows (about 10 MB), and shuffled beyond.
@@ -84,41 +84,10 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def context(text: Column, base: Column) -> Column:
-    """Terms beside each base span that no base span covers: array of (entity, term, start, end)."""
-
-    def terms(s: Column) -> Column:
-        lo = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        hi = F.least(s["end"] + CONTEXT_CHARS, F.length(text))
-        before = F.filter(
-            match_spans(F.substring(text, lo + 1, s["start"] - lo), TERM, "term", 4), lambda t: (t["start"] > 0) | (lo == 0)
-        )
-        after = F.filter(
-            match_spans(F.substring(text, s["end"] + 1, hi - s["end"]), TERM, "term", 4),
-            lambda t: (t["end"] + s["end"] < hi) | (hi == F.length(text)),
-        )
-        near = F.concat(
-            let(before, lambda b: _moved(F.slice(b, F.greatest(F.size(b) - CONTEXT_TERMS + 1, F.lit(1)), CONTEXT_TERMS), lo)),
-            _moved(F.slice(after, 1, CONTEXT_TERMS), s["end"]),
-        )
-        free = F.filter(near, lambda t: ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])))
-        return F.transform(
-            free,
-            lambda t: F.struct(
-                F.concat_ws(":", s["kind"], F.lower(s["m"])).alias("entity"),
-                F.lower(t["m"]).alias("term"),
-                t["start"].alias("start"),
-                t["end"].alias("end"),
-            ),
-        )
-
-    return F.flatten(F.transform(base, terms))
-
-
-def _moved(spans: Column, by: Column) -> Column:
-    return F.transform(
-        spans, lambda t: F.struct((t["start"] + by).alias("start"), t["rank"], (t["end"] + by).alias("end"), t["kind"], t["m"])
-    )
+def terms(text: Column) -> Column:
+    """The distinct terms of a text, in lower case: what ``TERM`` matches."""
+    runs = F.filter(F.split(text, "\\P{L}+"), lambda t: F.length(t) >= 3)
+    return F.array_distinct(F.transform(runs, F.lower))
 
 
 def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
@@ -127,52 +96,60 @@ def _joined(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner"
 
 
 def protected(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, spans): a row number, base spans and context per row; and the added term spans by row number."""
+    """(rows, spans): a row number and base spans per row; and the added term spans by row number."""
     text = whole(F.col(f"`{text_col}`"))
     rows = docs.select(F.col("*"), text.alias("_t")).withColumn("_base", base_spans(F.col("_t")))
     rows = stash(
-        rows.withColumn("_near", F.when(F.size("_base") > 0, context(F.col("_t"), F.col("_base"))))
-        .withColumn("_key", F.when(F.size("_base") > 0, F.xxhash64("_t")))
+        rows.withColumn("_text", F.when(F.size("_base") > 0, F.col("_t")))
         .withColumn("_row", F.monotonically_increasing_id())
         .drop("_t", text_col)
     )
     found = rows.where("size(_base) > 0")
-    n = rows.count()
-    near = found.select("_row", "_key", F.explode("_near").alias("c")).select("_row", "_key", "c.*")
-    meet = (
-        near.select("_row", "_key", "entity", "term").distinct()
-        .groupBy("entity", "term", "_key").agg(F.count("*").alias("co"))
-        .groupBy("entity", "term").agg(F.sum("co").alias("co"), F.count("*").alias("support"))
-        .where(F.col("support") >= SUPPORT)
-    )
-    meet = stash(meet)
+    n = float(rows.count())
     values = F.array_distinct(F.transform("_base", lambda b: F.concat_ws(":", b["kind"], F.lower(b["m"]))))
-    entities = found.select(F.explode(values).alias("entity")).groupBy("entity").agg(F.count("*").alias("df_e"))
-    vocabulary = meet.select("term").distinct()
-    words = docs.select(
-        F.explode(F.array_distinct(F.split(F.lower(text), "\\P{L}+"))).alias("term")
-    ).where(F.length("term") >= 3)
-    terms = stash(_joined(words, vocabulary, ["term"], "left_semi").groupBy("term").agg(F.count("*").alias("df_t")))
-    bits = F.log2(F.lit(float(n)) * F.col("co") / (F.col("df_t").cast("double") * F.col("df_e")))
-    most = F.log2(F.lit(float(n)) / F.col("df_e"))
+    holds = found.select("_row", F.explode(values).alias("entity"))
+    entities = holds.groupBy("entity").agg(F.count("*").alias("df_e"))
+    holds = stash(holds.join(entities, "entity"))
+    # Each row's terms outside of its base spans, and in how many documents they stand.
+    own = stash(found.select("_row", F.explode(terms(replaced(F.col("_text"), F.col("_base"), lambda b: F.lit(" ")))).alias("term")))
+    words = docs.select(F.explode(terms(text)).alias("term"))
+    df = words.groupBy("term").agg(F.count("*").alias("df_t"))
+    df = stash(df.join(own.select("term").distinct(), "term", "left_semi"))
+    # No entity of the row is so frequent that a more frequent term could reveal it; 1e-9 is for rounding.
+    bound = F.col("df_e") * F.pow(F.lit(n) / F.col("df_e"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
+    most_df = holds.groupBy("_row").agg(F.max(bound).alias("most_df"))
+    own = _joined(own, df, ["term"]).join(most_df, "_row").where("df_t <= most_df").select("_row", "term", "df_t")
+    meet = stash(own.join(holds, "_row").where(F.col("df_t") <= bound))
+    bits = F.log2(F.lit(n) * F.col("co") / (F.col("df_t").cast("double") * F.col("df_e")))
+    most = F.log2(F.lit(n) / F.col("df_e"))
     judged = stash(
-        _joined(meet, terms, ["term"])
-        .join(entities, "entity")
+        meet.groupBy("entity", "term", "df_t", "df_e")
+        .agg(F.count("*").alias("co"))
         .withColumn("disclosure", F.when(most > 0, bits / F.when(most > 0, most)).otherwise(0.0))
         .where(F.col("disclosure") >= GENERALISE)
         .select("entity", "term", F.when(F.col("disclosure") >= REMOVE, "term_removed").otherwise("term_general").alias("kind"))
     )
-    added = (
-        _joined(near, judged, ["entity", "term"])
-        .groupBy("_row", "start", "end")
+    marks = (
+        _joined(meet.select("_row", "entity", "term"), judged, ["entity", "term"])
+        .groupBy("_row", "term")
         .agg(F.max("kind").alias("kind"))  # "removed" wins over "general"
         .groupBy("_row")
-        .agg(
-            F.collect_list(
-                F.struct("start", F.when(F.col("kind") == "term_removed", 5).otherwise(4).alias("rank"), "end", "kind", F.lit("").alias("m"))
-            ).alias("_added")
-        )
+        .agg(F.map_from_entries(F.collect_list(F.struct("term", "kind"))).alias("_kinds"))
+    )
+    # Every occurrence that no base span covers.
+    held = found.select("_row", "_text", "_base").join(marks, "_row")
+    kinds, base = F.col("_kinds"), F.col("_base")
+    spans = F.filter(
+        match_spans(F.col("_text"), TERM, "term", 4),
+        lambda t: F.map_contains_key(kinds, F.lower(t["m"])) & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (b["end"] > t["start"])),
     )
+
+    def marked(t: Column) -> Column:
+        kind = F.element_at(kinds, F.lower(t["m"]))
+        return F.struct(t["start"], F.when(kind == "term_removed", 5).otherwise(4).alias("rank"), t["end"], kind.alias("kind"), F.lit("").alias("m"))
+
+    added = held.select("_row", F.transform(spans, marked).alias("_added"))
+    rows = rows.drop("_text")
     return rows, added
 
 
