@@ -77,6 +77,20 @@ def test_calibration_keeps_pairs_at_the_threshold():
     assert c.k > 4 and met.mean() > 0.998
 
 
+def test_only_the_count_rejects_pairs():
+    angle, rng = math.acos(0.93), np.random.default_rng(4)
+    window, least = collisions.least_collisions(64, angle, 16)
+    axes = collisions.orthogonal(64, 16)
+    a = collisions.unit(rng.standard_normal((2000, 64)))
+    b = rng.standard_normal((2000, 64))
+    b = collisions.unit(b - (a * b).sum(1, keepdims=True) * a)
+    b = 0.9301 * a + math.sin(math.acos(0.9301)) * b
+    counted = (np.abs((a - b) @ axes) <= window).sum(1) >= least
+    got = collisions.singles(np.concatenate([a, b]), np.arange(4000), None, 0.93, axes, window, least)
+    found = {tuple(x) for x in got.tolist()}
+    assert counted.mean() > 0.999 and {(int(i), int(i) + 2000) for i in np.flatnonzero(counted)} <= found
+
+
 def brute_top(ids, x, q, k):
     s = x[ids.index(q)] @ x.T
     order = sorted((-v, i) for v, i in zip(s, ids) if i != q)

@@ -10,10 +10,10 @@ it on a random line.
 2. *Rounds.*  In each round rows get the cell of K projections cut into steps with random offsets;
    K follows from the label's row count, the number of rounds from the chance that a pair at the very
    threshold shares a cell, so that the chance to miss it in all rounds is ``MISS``.  Up to ``CELL``
-   rows a label has one cell and one round, and nothing can be missed there.
-3. *Counting.*  Inside a cell the members are sorted along the first projection.  Each query's window
-   there gives its partners, and on every further projection the partners inside the query-centred
-   window score a collision.  Pairs with as many collisions as all but ``MISS`` of pairs at the
+   rows a label has one cell and one round, and cells miss nothing there.
+3. *Counting.*  Inside a cell the members are sorted along the first projection.  Partners are all that
+   are no farther there than linked vectors can be, and on every projection the partners inside the
+   query-centred window score a collision.  Pairs with as many collisions as all but ``MISS`` of pairs at the
    threshold have (calibrated by simulation) are verified by their cosine in double precision.
    Balls are compared by centre and radius: pairs of balls are linked as a whole, not at all, or, in
    the narrow ring between, member by member.
@@ -135,10 +135,11 @@ def singles(u: np.ndarray, ids: np.ndarray, other: np.ndarray | None, cosine: fl
     order = np.argsort(p[:, 0], kind="stable")
     p, first = p[order], p[order, 0]
     window = np.float32(window * (1 + 1e-5))
+    reach = np.float32(math.sqrt(2 - 2 * cosine) * (1 + 1e-5) + 1e-6)
     out = []
     for lo in range(0, len(order), CHUNK):
         q = p[lo : lo + CHUNK]
-        a, b = np.searchsorted(first, q[0, 0] - window), np.searchsorted(first, q[-1, 0] + window, side="right")
+        a, b = np.searchsorted(first, q[0, 0] - reach), np.searchsorted(first, q[-1, 0] + reach, side="right")
         hits = np.zeros((len(q), b - a), np.int8)
         for k in range(p.shape[1]):
             hits += np.abs(q[:, k, None] - p[None, a:b, k]) <= window
