@@ -130,6 +130,11 @@ def test_forms_agree_across_blocks(spark, monkeypatch):
     assert a == b
 
 
+def test_sampled_centroids_span_all_ids(spark):
+    refs = spark.range(10_000).select(F.col("id").alias("ref_id"), F.col("id").cast("int").alias("q0"))
+    assert ivf.sampled_centroids(refs, ["q0"], 2)[:, 0].tolist() == list(range(1, 10_000, 2))
+
+
 def test_all_probes_equal_exact(spark):
     rng = np.random.default_rng(2)
     refs = refs_of(spark, [(i, int(v), bool(i % 3 == 0)) for i, v in enumerate(rng.permutation(2000)[:300])])

@@ -1,7 +1,7 @@
 """Cluster-pruned search: k-means, inverted lists, boxes, probes, and the two-tier vote.
 
-The index is three tables (centroids, members by cluster, boxes by cluster).  Centroids are few by
-construction (``nlist``, 4096 at most), so they go to executors as an array; members meet their probes
+The index is three tables (centroids, members by cluster, boxes by cluster).  Centroids are few beside the
+references, so they go to executors as an array (trained ones are 4096 at most); members meet their probes
 in an equi-join on the cluster.
 """
 
@@ -19,6 +19,8 @@ from txrisk.operators.knn import squared_distance
 from txrisk.schema import K, SearchConfig
 
 MAX_CLUSTERS = 4096
+#: Distances that are held at a time.
+DISTANCES = 1 << 24
 
 
 @dataclass
@@ -53,7 +55,7 @@ class Index:
 
 def sampled_centroids(refs: DataFrame, dims: list[str], every: int) -> np.ndarray:
     """References whose id leaves 1 when divided by ``every``, in order of id: a repeatable choice."""
-    rows = refs.where(F.col("ref_id") % every == 1).orderBy("ref_id").limit(MAX_CLUSTERS).select(*dims).collect()
+    rows = refs.where(F.col("ref_id") % every == 1).orderBy("ref_id").select(*dims).collect()
     return np.array([tuple(r) for r in rows], float).reshape(len(rows), len(dims))
 
 
@@ -74,13 +76,18 @@ def centroid_distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return (x * x).sum(1)[:, None] + (centroids * centroids).sum(1)[None, :] - 2 * x @ centroids.T
 
 
+def rows_at_a_time(centroids: np.ndarray, most: int) -> int:
+    return max(1, min(most, DISTANCES // max(1, len(centroids))))
+
+
 def assign(refs: DataFrame, centroids: np.ndarray, dims: list[str]) -> DataFrame:
     """``refs`` with ``ci``, the nearest centroid (the lowest of equals), and ``cdist``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo in range(0, len(b), 4096):
-                part = b.iloc[lo : lo + 4096]
+            step = rows_at_a_time(centroids, 4096)
+            for lo in range(0, len(b), step):
+                part = b.iloc[lo : lo + step]
                 d = centroid_distances(part[dims].to_numpy(float), centroids)
                 yield part.assign(ci=d.argmin(1).astype(np.int32), cdist=np.rint(d.min(1)).astype(np.int64))
 
@@ -121,8 +128,9 @@ def probes(queries: DataFrame, index: Index, nprobe: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo in range(0, len(b), 1024):
-                part = b.iloc[lo : lo + 1024]
+            step = rows_at_a_time(centroids, 1024)
+            for lo in range(0, len(b), step):
+                part = b.iloc[lo : lo + step]
                 d = centroid_distances(part[dims].to_numpy(float), centroids)
                 ci = np.argsort(d, axis=1, kind="stable")[:, :nprobe]
                 out = part.loc[part.index.repeat(ci.shape[1])]
