@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -11,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
+#: Folders that ``stash`` has written and nobody has discarded, with their sessions.
+_written: dict[str, SparkSession] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``; only where that is unset (tests on one machine)
-    a folder of our own is made.
+    It is the cluster's ``spark.checkpoint.dir``.  Only where that is unset and all tasks run in the
+    driver's own process (tests) a folder of our own is made; a cluster without the setting is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="txrisk-")
@@ -37,12 +44,35 @@ def stash(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage in a way that a lost executor cannot undo, gives the next plan true
-    sizes, and makes values such as row numbers stable.
+    sizes, and makes values such as row numbers stable.  ``discard`` deletes the table once nothing
+    reads it; what is left goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/txrisk-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stash_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete stashed tables that no later plan reads."""
+    for t in tables:
+        _delete(t.stash_path)
+
+
+def _delete(path: str) -> None:
+    spark = _written.pop(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path in list(_written):
+        with contextlib.suppress(Exception):  # the session may have ended before
+            _delete(path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -59,21 +89,24 @@ def whole(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
-def text_key(text: Column) -> Column:
-    """A key of a text that makes a row's key unique even where ``doc_id`` repeats."""
-    return F.struct(F.xxhash64(text).alias("h"), F.length(text).alias("n"))
+#: Columns of ``keyed``: which row this is.
+KEY = ["_file", "_at"]
 
 
-#: Rows of whole texts, or of sets as long as texts, in one Arrow batch.
-TEXT_ROWS = 512
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` packed in a struct ``r``, with a key (``_file``, ``_at``) that is unique and the same in every pass.
 
-
-def text_batches(spark: SparkSession) -> None:
-    """From now on this session hands rows to Python in batches small enough for texts."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > TEXT_ROWS:
-        spark.conf.set(key, str(TEXT_ROWS))
+    A frame that is read straight from files has one already: the file and the row's place in it, so
+    no text is written again.  Rows of any other frame are written to the shared folder with numbers.
+    """
+    row = F.struct("*").alias("r")
+    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    if plan == "LogicalRelation" and "_metadata" not in docs.columns and docs.columns:
+        path = F.col("_metadata.file_path")
+        names = docs.select(path.alias("path")).distinct()
+        if not names.groupBy(F.xxhash64("path").alias("h")).count().where("count > 1").limit(1).count():
+            return docs.select(row, F.xxhash64(path).alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    return stash(docs.select(row, F.lit(0).cast("long").alias("_file"), F.monotonically_increasing_id().alias("_at")))
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:

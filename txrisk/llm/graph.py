@@ -1,11 +1,10 @@
 """Links and connected components as joins, for groups of any size.
 
-Records (anchor, id, home, ...) say that two ids may be linked if they share an anchor at which at
-least one of them is at home.  A group at one anchor can be a large part of all rows, so its pairs are
-never listed: first each member is compared with
-the least of its anchors' leaders; then, only where members of one
-anchor are still apart, those outside the leader's component are compared with the whole anchor.
-No pair of different components goes uncompared, so the components are exact.
+Members of a group (an anchor) may be linked if at least one of them is at home there.  A group can be
+a large part of all rows, so its pairs are never listed: first each member is compared with its groups'
+leaders; then, only where members of one group are still apart, those outside the leader's component
+are compared with the whole group.  No pair of different components goes uncompared, so the components
+are exact.
 """
 
 from __future__ import annotations
@@ -15,14 +14,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in ``edges`` (a, b): the smallest id reachable.
 
     Smallest labels travel along the edges and then along the labels, which halves path lengths; the
-    state is written to the shared folder after every round.
+    state is written to the shared folder after every round, and the last round's is deleted.
     """
     both = stash(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
     labels = stash(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")))
@@ -32,65 +31,40 @@ def components(edges: DataFrame) -> DataFrame:
         jump = labels.select(F.col("id").alias("mid"), F.col("component").alias("end"))
         new = stash(lower.join(jump, "mid", "left").select("id", "old", F.least("mid", "end").alias("component")))
         changed = new.where("old <> component").limit(1).count()
-        labels = new.drop("old")
+        discard(labels)
+        labels = new
         if not changed:
-            return labels
+            discard(both)
+            out = new.drop("old")
+            out.stash_path = new.stash_path
+            return out
 
 
-def anchored_components(
-    records: DataFrame,
-    close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
-    verify: Callable[[DataFrame], DataFrame] | None = None,
-    payload: DataFrame | None = None,
-) -> DataFrame:
-    """(id, component) of the ids that have a link.
+def anchored_links(met: DataFrame, place: list[str], close: Callable[[Column, Column], Column]) -> DataFrame:
+    """(a, b): links that give the components of all links.
 
-    ``records``: anchor, id, home.  ``close(x, y)`` compares two records, where ``x`` and ``y`` give a
-    column by name, of ``payload`` (by id) too: it is joined only to records that share their anchor.
-    ``verify`` keeps the true links of a table (a, b).
+    ``met``: the columns ``place`` that name a group, id, home, and leader, the group's least id at home.
+    ``close(x, y)`` tells from two ids whether they link.
     """
-    verify = verify or (lambda e: e)
-    shared = records.groupBy("anchor").agg(F.min(F.when(F.col("home"), F.col("id"))).alias("leader"), F.count("*").alias("n"))
-    shared = shared.where("n > 1 and leader is not null").drop("n")
-    met = records.join(shared, "anchor")
-    if payload is not None:
-        met = stash(met).join(payload, "id")
-    met = stash(met)
-    left = lambda c: F.col(f"l.{c}")
-    right = lambda c: F.col(f"r.{c}")
-
-    leaders = met.where("home and id = leader")
-    first = (
-        met.alias("l")
-        .join(leaders.alias("r"), (left("anchor") == right("anchor")) & (left("id") != right("id")) & close(left, right))
-        .groupBy(left("id").alias("a"))
-        .agg(F.min(right("id")).alias("b"))
-    )
-    tried = stash(first)
-    first = stash(verify(tried))
-    known = components(first)
-
-    label = known.withColumnRenamed("component", "label")
-    labelled = met.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    first = met.where((F.col("id") != F.col("leader")) & close(F.col("id"), F.col("leader")))
+    first = stash(first.groupBy(F.col("id").alias("a")).agg(F.min("leader").alias("b")))
+    label = components(first).withColumnRenamed("component", "label")
     chief = label.select(F.col("id").alias("leader"), F.col("label").alias("chief"))
-    labelled = labelled.join(chief, "leader", "left").withColumn("chief", F.coalesce("chief", "leader"))
-    labelled = stash(labelled.join(tried.select(F.col("a").alias("id"), F.col("b").alias("tried")), "id", "left"))
-    apart = stash(labelled.where("label <> chief"))
+    labelled = met.join(label, "id", "left").join(chief, "leader", "left")
+    labelled = stash(
+        labelled.select(*place, "id", "home", F.coalesce("label", "id").alias("label"), F.coalesce("chief", "leader").alias("chief"))
+    )
+    here, there = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    apart = labelled.where("label <> chief").drop("chief")
+    same = here(place[0]) == there(place[0])
+    for c in place[1:]:
+        same &= here(c) == there(c)
     second = (
         apart.alias("l")
-        .join(
-            labelled.alias("r"),
-            (left("anchor") == right("anchor"))
-            & (left("label") != right("label"))
-            & (left("home") | right("home"))
-            & ~left("tried").eqNullSafe(right("id"))
-            & close(left, right),
-        )
-        .select(F.least(left("id"), right("id")).alias("a"), F.greatest(left("id"), right("id")).alias("b"))
+        .join(labelled.drop("chief").alias("r"), same & (here("label") != there("label")) & (here("home") | there("home")) & close(here("id"), there("id")))
+        .select(F.least(here("id"), there("id")).alias("a"), F.greatest(here("id"), there("id")).alias("b"))
         .distinct()
     )
-    second = verify(stash(second))
-    more = stash(second)
-    if not more.limit(1).count():
-        return known
-    return components(first.select("a", "b").union(more.select("a", "b")))
+    links = stash(second.union(first))
+    discard(first, labelled)
+    return links

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stash, text_batches
+from .common import slices, stash
 from .tokens import encoder, tokenizer_path
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -70,7 +70,6 @@ def pieces(docs: DataFrame, how: Packing, path: str | None = None) -> DataFrame:
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
-    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, PIECES)
 
 

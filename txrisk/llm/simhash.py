@@ -17,7 +17,7 @@ repeated rows share a component; null ids never are a component's name unless al
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stash, text_batches, whole
-from .graph import anchored_components
+from .common import KEY, discard, keyed, slices, stash, whole
+from .graph import anchored_links, components
 
 ROWS_AT_A_TIME = 1 << 15
 
@@ -71,13 +71,14 @@ def fingerprint(text: bytes, size: int) -> int:
     return int(_pack(2 * _votes(h) > len(h))[0]) if len(h) else 0
 
 
-def homes_and_visits(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor, at home) of 32-bit segments: 31 bits in a Hamming code and one that stands for itself."""
-    word = segment.astype(np.int64) & 0x7FFFFFFF
-    extra = segment.astype(np.int64) & 0x80000000
+def homes_and_visits(segment: np.ndarray, r: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor, at home) of segments of 2**r bits: all but the top one in a Hamming code, which stands for itself."""
+    top = np.int64(1) << ((1 << r) - 1)
+    word = segment.astype(np.int64) & (top - 1)
+    extra = segment.astype(np.int64) & top
     syndrome = np.zeros(len(word), np.int64)
-    ones = (extra >> 31).copy()
-    for p in range(1, 32):
+    ones = (extra > 0).astype(np.int64)
+    for p in range(1, 1 << r):
         bit = (word >> (p - 1)) & 1
         syndrome ^= bit * p
         ones += bit
@@ -86,10 +87,10 @@ def homes_and_visits(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     rows, anchors, at_home = [every], [home | extra], [np.ones(len(word), bool)]
     even = np.flatnonzero(ones % 2 == 0)
     rows.append(even)
-    anchors.append(home[even] | (extra[even] ^ 0x80000000))
+    anchors.append(home[even] | (extra[even] ^ top))
     at_home.append(np.zeros(len(even), bool))
     off = even[syndrome[even] > 0]
-    for p in range(1, 32):
+    for p in range(1, 1 << r):
         q = p ^ syndrome[off]
         pair = off[(q > p)]
         q = q[q > p]
@@ -99,16 +100,58 @@ def homes_and_visits(segment: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.concatenate(rows), np.concatenate(anchors), np.concatenate(at_home)
 
 
-def anchor_records(ids: np.ndarray, sketch: np.ndarray) -> pd.DataFrame:
-    """Records of sketches, one row of unsigned 64-bit words each."""
+def anchor_records(ids: np.ndarray) -> pd.DataFrame:
+    """Records (anchor, id, home) of fingerprints at both halves; an anchor's bit 33 tells the half."""
     parts = []
-    for k in range(2 * sketch.shape[1]):
-        rows, anchor, home = homes_and_visits((sketch[:, k // 2] >> np.uint64(32 * (k % 2))) & np.uint64(0xFFFFFFFF))
+    for k in range(2):
+        rows, anchor, home = homes_and_visits((ids.view(np.uint64) >> np.uint64(32 * k)) & np.uint64(0xFFFFFFFF))
         parts.append(pd.DataFrame({"anchor": anchor | (k << 33), "id": ids[rows], "home": home}))
     return pd.concat(parts)
 
 
+def quarter_records(anchors: np.ndarray, ids: np.ndarray) -> pd.DataFrame:
+    """Records (anchor, sub, id, home) of fingerprints at one anchor, at both quarters of the other half.
+
+    Two that meet at an anchor of one half differ in at most 3 bits of the other, so one quarter has at most 1.
+    """
+    other = np.where(anchors >> 33, 0, 32).astype(np.uint64)
+    parts = []
+    for k in range(2):
+        rows, sub, home = homes_and_visits((ids.view(np.uint64) >> (other + np.uint64(16 * k))) & np.uint64(0xFFFF), 4)
+        parts.append(pd.DataFrame({"anchor": anchors[rows], "sub": sub | (k << 17), "id": ids[rows], "home": home}))
+    return pd.concat(parts)
+
+
 RECORD = "anchor bigint, id bigint, home boolean"
+#: Anchors with more members are split by the anchors of the other half's quarters.
+HOT_ANCHOR = 512
+
+
+def fingerprint_links(prints: DataFrame, bits: int = 3) -> DataFrame:
+    """(a, b): links among the distinct fingerprints (fp) that give the components of all of up to ``bits`` bits."""
+    if bits > 3:
+        raise ValueError("two halves find pairs of up to 3 differing bits")
+
+    def halves(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield anchor_records(b["fp"].to_numpy(np.int64))
+
+    def quarters(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield quarter_records(b["anchor"].to_numpy(np.int64), b["id"].to_numpy(np.int64))
+
+    def meeting(records: DataFrame, place: list[str]) -> DataFrame:
+        shared = records.groupBy(*place).agg(F.min(F.when(F.col("home"), F.col("id"))).alias("leader"), F.count("*").alias("n"))
+        return records.join(shared.where("n > 1 and leader is not null"), place)
+
+    met = stash(meeting(prints.mapInPandas(halves, RECORD), ["anchor"]))
+    split = met.where(F.col("n") > HOT_ANCHOR).select("anchor", "id").mapInPandas(quarters, f"{RECORD}, sub int")
+    place = ["anchor", "sub"]
+    cool = met.where(F.col("n") <= HOT_ANCHOR).withColumn("sub", F.lit(-1))
+    both = stash(cool.unionByName(meeting(split, place)).drop("n"))
+    links = anchored_links(both, place, lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= bits)
+    discard(met, both)
+    return links
 
 
 def fingerprints(docs: DataFrame, size: int) -> DataFrame:
@@ -119,45 +162,40 @@ def fingerprints(docs: DataFrame, size: int) -> DataFrame:
             fp = np.array([fingerprint((t or "").encode(), size) for t in b.column("text").to_pylist()], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
 
-    text_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp bigint")
 
 
 def simhash_components(docs: DataFrame, size: int = 3, bits: int = 3) -> DataFrame:
     """One row per document: fingerprint and the smallest id among the documents it is linked with."""
-    if bits > 3:
-        raise ValueError("two halves find pairs of up to 3 differing bits")
     fps = stash(fingerprints(docs, size))
     members = stash(fps.groupBy("fp").agg(F.min("doc_id").alias("first")))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            fp = b["fp"].to_numpy(np.int64)
-            yield anchor_records(fp, fp.view(np.uint64)[:, None])
-
-    records = members.select("fp").mapInPandas(run, RECORD)
-    linked = anchored_components(records, lambda x, y: F.bit_count(x("id").bitwiseXOR(y("id"))) <= bits)
+    links = fingerprint_links(members.select("fp"), bits)
+    linked = components(links)
     named = members.join(linked, members["fp"] == linked["id"], "left").select("fp", "first", F.coalesce("component", "fp").alias("c"))
     least = named.groupBy("c").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "c").select("fp", "component_id")
-    out = fps.join(named, "fp")
-    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = stash(named.join(least, "c").select("fp", "component_id"))
+    discard(members, links, linked)
+    return fps.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 # Near copies of whole texts: word shingles of five, similarity (Jaccard) of 0.8 or more.
 #
-# Order the shingles of all texts in one way.  If x has n shingles and shares c with y, their first common
-# shingle is among the first n - c + 1 of x.  Similarity s needs c >= s / (1 + s) * (n + m), which is
-# s * n at least, and 2 s / (1 + s) * m at least for the smaller set of m.  So a pair meets at a shingle
-# in the first n - s * n + 1 of the larger set that the smaller one has among fewer still, its home: no
-# pair is missed, whatever the order.  An order by rarity makes few others meet.
+# Fingerprints by anchors, as above, meet the closest of them.  A fingerprint of 64 bits cannot meet all
+# pairs at 0.8 (they differ in about ten bits), so a prefix filter adds every pair that is left.  Order the
+# shingles of all texts in one way.  If x has n shingles and shares c with y, their first common shingle is
+# among the first n - c + 1 of x.  Similarity s needs c >= s / (1 + s) * (n + m), which is s * n at least,
+# and 2 s / (1 + s) * m at least for the smaller set of m.  So a pair meets at a shingle in the first
+# n - s * n + 1 of the larger set that the smaller one has among fewer still, its home: no pair is missed,
+# whatever the order.  An order by rarity makes few others meet.
 
 #: Texts of the sample that tells which shingles are frequent, and the most frequent ones that are held.
 #: Both bear on the order alone, and so on how many pairs are compared but not on which are found.
 ORDER_ROWS = 20_000
 ORDER_SHINGLES = 200_000
-#: So many row numbers are broadcast (about 16 MB), more are shuffled.
+#: So many row keys are broadcast (about 24 MB), more are shuffled.
 SMALL_ROWS = 1_000_000
+#: Bytes of a shingle's hash that are compared: two sets of 20,000 have a false match with chance 4e-4.
+HASH_BYTES = 5
 
 
 def least_common(similarity: float, n: int, m: int) -> int:
@@ -165,10 +203,9 @@ def least_common(similarity: float, n: int, m: int) -> int:
     return math.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
 
 
-def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+def frequent(texts: DataFrame, share: float, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(shingle, count): the shingles that stand in three or more texts of a sample, by hash."""
-    share = min(1.0, ORDER_ROWS / max(1, docs.count()))
-    some = docs.where(F.pmod(F.xxhash64("_row"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    some = texts.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -182,105 +219,186 @@ def frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return shingle[order], count[order]
 
 
-def first_shingles(own: np.ndarray, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, int]:
-    """(first shingles, homes among them) of a sorted set: the rare before the frequent, equals by hash."""
+def first_shingles(own: np.ndarray, similarity: float, often: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a sorted set: the rare before the frequent, equals by hash."""
     n, (shingle, count) = len(own), often
     if not n:
-        return own, 0
-    most = n - math.ceil(similarity * n - 1e-9) + 1
+        return own
     if len(shingle):
         at = np.minimum(np.searchsorted(shingle, own), len(shingle) - 1)
         own = own[np.argsort(np.where(shingle[at] == own, count[at], 0), kind="stable")]
-    return own[:most], n - least_common(similarity, n, n) + 1
+    return own[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
+def packed_set(own: np.ndarray) -> bytes:
+    return own.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :HASH_BYTES].tobytes()
+
+
+def unpacked_set(held: bytes) -> np.ndarray:
+    out = np.zeros((len(held) // HASH_BYTES, 8), np.uint8)
+    out[:, :HASH_BYTES] = np.frombuffer(held, np.uint8).reshape(-1, HASH_BYTES)
+    return out.view("<u8")[:, 0]
+
+
+def similar(x: bytes, y: bytes, similarity: float) -> bool:
+    n, m = len(x) // HASH_BYTES, len(y) // HASH_BYTES
+    if min(n, m) < similarity * max(n, m):
+        return False
+    common = n + m - len(np.unique(np.concatenate([unpacked_set(x), unpacked_set(y)])))
+    return common > 0 and common >= similarity * (n + m - common) - 1e-9
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(row, keep, component): ``docs`` must have unique ``_row`` numbers beside ``doc_id`` and ``text``.
+    """(_file, _at, doc_id, component, keep) of ``docs`` (_file, _at, doc_id, text), where the first two are a key.
 
     Texts equal word by word are one member; members link at Jaccard similarity of their shingle sets
-    from ``similarity``; of each component the row with the smallest id, then row number, is kept.
+    from ``similarity``; of each component the row with the smallest id, then key, is kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
 
         for b in slices(batches):
-            h = [xxh3_128_intdigest(b" ".join((t or "").encode().lower().split())) for t in b.column("text").to_pylist()]
+            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
+            h = [xxh3_128_intdigest(b" ".join(t.lower().split())) for t in texts]
             h1 = np.array([x & (2**64 - 1) for x in h], np.uint64).view(np.int64)
             h2 = np.array([x >> 64 for x in h], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("_row"), *map(pa.array, (h1, h2))], ["_row", "h1", "h2"])
+            fp = np.array([fingerprint(t, size) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in (*KEY, "doc_id")), *map(pa.array, (h1, h2, fp))], [*KEY, "doc_id", "h1", "h2", "fp"])
 
-    text_batches(docs.sparkSession)
-    hashed = stash(docs.select("_row", "text").mapInArrow(run, "_row bigint, h1 bigint, h2 bigint"))
-    members = stash(hashed.groupBy("h1", "h2").agg(F.min("_row").alias("id")))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    hashed = stash(docs.mapInArrow(run, f"_file bigint, _at bigint, doc_id {kind}, h1 bigint, h2 bigint, fp bigint"))
+    first = hashed.groupBy("h1", "h2", "fp").agg(F.min(F.struct(*KEY)).alias("f"))
+    members = stash(first.select("h1", "h2", "fp", "f.*", F.monotonically_increasing_id().alias("id")))
+    n_members = members.count()
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        # Few numbers are broadcast, so that texts stay where they are.
-        return docs.select("_row", "text").join(F.broadcast(ids) if ids.count() <= SMALL_ROWS else ids, "_row", "left_semi")
+    def texts_of(ids: DataFrame, n: int) -> DataFrame:
+        # Few keys are broadcast, so that texts stay where they are.
+        return docs.select(*KEY, "text").join(F.broadcast(ids) if n <= SMALL_ROWS else ids, KEY).select("id", "text")
 
-    texts = texts_of(members.select(F.col("id").alias("_row")))
-    often = docs.sparkSession.sparkContext.broadcast(frequent(texts, size))
+    texts = texts_of(members.select(*KEY, "id"), n_members)
+    often = docs.sparkSession.sparkContext.broadcast(frequent(texts, min(1.0, ORDER_ROWS / max(1, n_members)), size))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             own = [np.unique(shingle_hashes((t or "").encode(), size)) for t in b.column("text").to_pylist()]
             first = [first_shingles(x, similarity, often.value) for x in own]
-            long = np.array([len(x) for x, _ in first])
-            pos = np.concatenate([np.arange(k) for k in long]).astype(np.int32)
+            long = np.array([len(x) for x in first])
             cols = [
-                np.concatenate([x for x, _ in first]).astype("<u8").view(np.int64),
-                np.repeat(b.column("_row").to_numpy(), long),
-                pos < np.repeat([k for _, k in first], long),
-                pos,
-                np.repeat(np.array([len(x) for x in own], np.int32), long),
+                np.concatenate(first).astype("<u8").view(np.int64),
+                np.repeat(b.column("id").to_numpy(), long),
+                np.repeat(np.array([len(x) for x in own], np.int64) << 32, long) + np.concatenate([np.arange(k) for k in long]).astype(np.int64),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["anchor", "id", "home", "pos", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["anchor", "id", "place"])
 
     def verify(edges: DataFrame) -> DataFrame:
-        ids = stash(edges.select(F.col("a").alias("_row")).union(edges.select(F.col("b").alias("_row"))).distinct())
+        """The links among the pairs (a, b)."""
+        edges = stash(edges)
+        ids = stash(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct())
+        ids = stash(members.select(*KEY, "id").join(ids, "id", "left_semi"))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
-                own = [np.unique(shingle_hashes((t or "").encode(), size)).tobytes() for t in b.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(own, pa.binary())], ["_row", "own"])
-
-        held = stash(texts_of(ids).mapInArrow(sets, "_row bigint, own binary"))
-        x, y = held.select(F.col("_row").alias("a"), F.col("own").alias("x")), held.select(F.col("_row").alias("b"), F.col("own").alias("y"))
-
-        def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                ok = np.zeros(len(b), bool)
-                for i, (p, q) in enumerate(zip(b["x"], b["y"])):
-                    p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
-                    if min(len(p), len(q)) < similarity * max(len(p), len(q)):
-                        continue
-                    common = len(np.intersect1d(p, q, assume_unique=True))
-                    ok[i] = common >= similarity * (len(p) + len(q) - common) and common > 0
-                yield b.loc[ok, ["a", "b"]]
-
-        return edges.join(x, "a").join(y, "b").mapInPandas(judge, "a bigint, b bigint")
-
-    def close(p: Callable[[str], Column], q: Callable[[str], Column]) -> Column:
-        # Enough shingles must be left from here on: that holds at the first one that a true pair has in common.
-        left = F.least(p("n") - p("pos"), q("n") - q("pos"))
-        need = F.lit(similarity / (1 + similarity)) * (p("n") + q("n")) - 1e-9
-        return (F.least(p("n"), q("n")) >= similarity * F.greatest(p("n"), q("n")) - 1e-9) & (left >= need)
+                own = [packed_set(np.unique(shingle_hashes((t or "").encode(), size))) for t in b.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(own, pa.binary())], ["id", "own"])
+
+        held = stash(texts_of(ids, ids.count()).mapInArrow(sets, "id bigint, own binary"))
+        x, y = held.select(F.col("id").alias("a"), F.col("own").alias("x")), held.select(F.col("id").alias("b"), F.col("own").alias("y"))
 
-    found = texts.mapInArrow(records, "anchor bigint, id bigint, home boolean, pos int, n int")
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                ok = [similar(p, q, similarity) for p, q in zip(b.column("x").to_pylist(), b.column("y").to_pylist())]
+                yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+        links = stash(edges.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(judge, "a bigint, b bigint"))
+        discard(edges, ids, held)
+        return links
+
+    # The operator's own method: anchors of fingerprints.
+    chosen = members.groupBy("fp").agg(F.min("id").alias("one"))
+    by_print = stash(members.join(chosen, "fp").where("id <> one").select(F.col("id").alias("a"), F.col("one").alias("b")))
+    by_anchor = fingerprint_links(chosen.select("fp"), 3)
+    names = chosen.select("fp", "one")
+    by_anchor = by_anchor.join(names.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(names.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b")
+    closest = verify(by_print.union(by_anchor.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    discard(by_print)
+    known = components(closest)
+
+    found = texts.mapInArrow(records, "anchor bigint, id bigint, place bigint")
+    n, pos = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
+    at_home = pos < n - F.ceil(F.lit(similarity / (1 + similarity)) * 2 * n - 1e-9) + 1
     # Most shingles stand in one text; a text has one record at an anchor, so no anchor holds a large part of them.
-    met = found.withColumn("_met", F.count("*").over(Window.partitionBy("anchor"))).where("_met > 1").drop("_met")
-    linked = anchored_components(stash(met), close, verify)
+    anchor = Window.partitionBy("anchor")
+    met = found.withColumns({"_met": F.count("*").over(anchor), "leader": F.min(F.when(at_home, F.struct("id", "place"))).over(anchor)})
+    met = met.where("_met > 1 and leader is not null").select("anchor", "id", n.alias("n"), pos.alias("pos"), at_home.alias("home"), "leader")
+    met = stash(met.select("anchor", "id", "n", "pos", "home", F.col("leader.id").alias("leader"), F.shiftright("leader.place", 32).alias("leader_n"), F.col("leader.place").bitwiseAND(F.lit((1 << 32) - 1)).alias("leader_pos")))
+
+    def close(n: Column, pos: Column, m: Column, at: Column) -> Column:
+        # Enough shingles must be left from here on: that holds at the first one that a true pair has in common.
+        need = F.lit(similarity / (1 + similarity)) * (n + m) - 1e-9
+        return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (F.least(n - pos, m - at) >= need)
+
+    def labelled(known: DataFrame) -> DataFrame:
+        label = known.withColumnRenamed("component", "label")
+        chief = label.select(F.col("id").alias("leader"), F.col("label").alias("chief"))
+        out = met.join(label, "id", "left").join(chief, "leader", "left")
+        return out.withColumns({"label": F.coalesce("label", "id"), "chief": F.coalesce("chief", "leader")})
+
+    # Each member is compared with the leader that it shares most anchors with, unless they are linked already.
+    tried = (
+        labelled(known)
+        .where((F.col("label") != F.col("chief")) & close(F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos")))
+        .groupBy("id", "leader")
+        .agg(F.count("*").alias("k"))
+        .groupBy(F.col("id").alias("a"))
+        .agg(F.max_by("leader", F.struct("k", -F.col("leader"))).alias("b"))
+    )
+    tried = stash(tried)
+    led = verify(tried)
+    before, known = known, components(closest.union(led))
+    discard(before)
+
+    # Then the members that are still apart from a leader are compared with all others at its anchor.
+    rows = labelled(known).select("anchor", "id", "n", "pos", "home", "label", "chief")
+    rows = stash(rows.join(tried.select(F.col("a").alias("id"), F.col("b").alias("tried")), "id", "left"))
+    here, there = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    apart = rows.where("label <> chief")
+    rest = (
+        apart.alias("l")
+        .join(
+            rows.alias("r"),
+            (here("anchor") == there("anchor"))
+            & (here("label") != there("label"))
+            & (here("home") | there("home"))
+            & ~here("tried").eqNullSafe(there("id"))
+            & ~there("tried").eqNullSafe(here("id"))
+            & close(here("n"), here("pos"), there("n"), there("pos")),
+        )
+        .select(F.least(here("id"), there("id")).alias("a"), F.greatest(here("id"), there("id")).alias("b"))
+        .distinct()
+    )
+    more = verify(rest)
+    discard(met, rows, tried, known)
+    linked = components(closest.union(led).union(more))
+    discard(closest, led, more)
+
     named = members.join(linked, "id", "left").select("h1", "h2", F.coalesce("component", "id").alias("component"))
-    rows = hashed.join(named, ["h1", "h2"]).select("_row", "component")
-    rows = rows.join(docs.select("_row", "doc_id"), "_row")
-    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row"))["_row"].alias("best"))
-    return rows.join(best, "component").select("_row", "component", (F.col("_row") == F.col("best")).alias("keep"))
+    rows = hashed.join(named, ["h1", "h2"]).select(*KEY, "doc_id", "component")
+    best = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", *KEY)).alias("best"))
+    is_best = (F.col("best._file") == F.col("_file")) & (F.col("best._at") == F.col("_at"))
+    out = stash(rows.join(best, "component").select(*KEY, "doc_id", "component", is_best.alias("keep")))
+    discard(hashed, members, linked)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each component; columns as they were."""
-    packed = docs.select(F.struct("*").alias("r"), F.col("doc_id"), whole(F.col("text")).alias("text"))
-    # Row numbers must be the same in every pass, so they are written down once.
-    packed = stash(packed.withColumn("_row", F.monotonically_increasing_id()))
-    kept = near_duplicates(packed.select("_row", "doc_id", "text"), size, similarity).where("keep").select("_row")
-    return packed.join(kept, "_row", "left_semi").select("r.*")
+    """``docs`` with one row of each component; columns as they were.
+
+    Rows without words are equal word by word, so one of them stays.
+    """
+    rows = keyed(docs)
+    judged = near_duplicates(rows.select(*KEY, F.col("r")["doc_id"].alias("doc_id"), whole(F.col("r")["text"]).alias("text")), size, similarity)
+    gone = judged.where("not keep").select(*KEY)
+    # Few keys are broadcast, so that texts stay where they are.
+    gone = F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone
+    return rows.join(gone, KEY, "left_anti").select("r.*")
