@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next stage's docs.  All but the last return the columns of documents.
+
+Null and empty texts are scored by the classifier's bias alone; those that stay are one group of
+copies, of which one row stays.  Very long texts are read whole by every stage.  Rows that repeat are
+copies, and of a tie the row with the smallest id, then place in the files, stays.  Null ids and extra
+columns, also such as share a name with one of a stage's own, pass through.  An empty table stays
+empty through all stages.
 """
 
 from __future__ import annotations
@@ -9,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txrisk.llm.common import stash, table
+from txrisk.llm.common import discard, stash, table
 from txrisk.llm.mixing import Mix, mix_documents
 from txrisk.llm.packing import pack
 from txrisk.llm.secret_scan import redact_secrets
@@ -58,8 +64,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stash(docs)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, stash(stage(spark, docs, sf_dir))
+        if k:
+            discard(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
