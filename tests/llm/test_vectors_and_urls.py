@@ -97,46 +97,88 @@ def brute_top(ids, x, q, k):
     return [(i, -v) for v, i in order[:k]]
 
 
-def test_search_small_tables_is_exact(spark):
+def test_search_that_aims_at_all_neighbours_finds_them(spark):
     x = clustered(130, 16, 3)
     x[50] *= 3
-    ids = list(range(130))
+    rows = [(i, x[i]) for i in range(130)] + [(None, x[0]), (3, x[3]), (40, x[41])]
     got = {}
-    for r in ann.search(table(spark, [(i, x[i], 1) for i in ids] + ODD + [(9_020, [1.0] * 4, 1), (None, x[0], 1), (3, x[3], 1)])).collect():
+    for r in ann.search(table(spark, [(i, v, 1) for i, v in rows] + ODD + [(9_020, [1.0] * 4, 1)]), recall=1.0).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    assert set(got) == {i for i in ids if i % 20 == 0}
-    for q, found in got.items():
-        want = brute_top(ids, x.astype(float), q, 20)
-        assert [(a, b) for a, b, _ in sorted(found)] == [(n + 1, i) for n, (i, _) in enumerate(want)]
-        assert np.allclose([s for _, _, s in sorted(found)], [s for _, s in want], rtol=0, atol=1e-12)
+    assert set(got) == {i for i in range(130) if i % 20 == 0} and len(got[40]) == 40
+    for q in set(got) - {40}:  # 40 stands in two rows, and each asks
+        score = [(-float(x[q].astype(float) @ v.astype(float)), i is None, i or 0, n) for n, (i, v) in enumerate(rows) if n != q]
+        want = sorted(score)[:20]
+        assert np.allclose([s for _, _, s in sorted(got[q])], [-w[0] for w in want], rtol=0, atol=1e-12)
+        exact = [(float((x[q].astype(float) * v.astype(float)).sum()), i) for n, (i, v) in enumerate(rows) if n != q]
+        exact.sort(key=lambda t: (-t[0], t[1] is None, t[1] or 0))
+        assert [i for _, i, _ in sorted(got[q])] == [i for _, i in exact[:20]]
 
 
 def test_search_of_odd_tables(spark):
     assert ann.search(table(spark, [])).count() == 0 and ann.search(table(spark, ODD)).count() == 0
-    few = ann.search(table(spark, [(20, [1, 0], 1), (21, [0.5, 0], 1), (22, [0.5, 0], 1)])).collect()
+    few = ann.search(table(spark, [(20, [1, 0], 1), (21, [0.5, 0], 1), (22, [0.5, 0], 1)]), recall=1.0).collect()
     assert [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in sorted(few)] == [(20, 1, 21, 0.5), (20, 2, 22, 0.5)]
 
 
-def test_recall(spark, monkeypatch):
+@pytest.mark.parametrize("groups", [2400, 60])
+def test_recall_with_the_default_aim(spark, monkeypatch, groups):
     monkeypatch.setattr(ann, "BLOCK_ROWS", 150)
     monkeypatch.setattr(ann, "BLOCK_QUERIES", 40)
     rng = np.random.default_rng(9)
-    x = rng.standard_normal((2400, 24)).astype(np.float32)
+    x = (rng.standard_normal((groups, 24)).repeat(2400 // groups, 0) + 0.3 * rng.standard_normal((2400, 24))).astype(np.float32)
     ids = list(range(2400))
+    df = table(spark, [(i, x[i], 1) for i in ids])
     got = {}
-    for r in ann.search(table(spark, [(i, x[i], 1) for i in ids])).collect():
+    for r in ann.search(df).collect():
         got.setdefault(r["query_id"], set()).add(r["vec_id"])
-    assert len(got) == 120 and all(len(v) == 20 for v in got.values())
+    assert len(got) == 120
     recall = np.mean([len(got[q] & {i for i, _ in brute_top(ids, x.astype(float), q, 20)}) / 20 for q in got])
     assert recall >= 0.9
+    # The index leaves rows out, few where the vectors have groups.
+    index, _ = ann.indexed(df)
+    assert index.counts.sum() == 2400 and index.visits < (2400 if groups == 2400 else 600)
+
+
+def test_recall_of_the_table(spark, data):
+    from txrisk.llm.common import table as read
+
+    e = read(spark, data.replace("0.001", "0.01"), "embeddings").orderBy("vec_id").collect()
+    x, ids = np.array([r["embedding"] for r in e], float), [r["vec_id"] for r in e]
+    got = {}
+    for r in ann.search(read(spark, data.replace("0.001", "0.01"), "embeddings")).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    recall = np.mean([len(got[q] & {i for i, _ in brute_top(ids, x, q, 20)}) / 20 for q in got])
+    assert len(got) == sum(i % 20 == 0 for i in ids) and recall >= 0.9
 
 
 def test_walk_goes_down_the_sums():
     rng = np.random.default_rng(1)
-    x = ann.MultiIndex(rng.standard_normal((5, 3)), rng.standard_normal((7, 2)))
+    x = ann.MultiIndex(rng.standard_normal((5, 3)), rng.standard_normal((7, 2)), np.ones((5, 7), int), 12)
     q = rng.standard_normal(5)
-    sums = [x.first[i] @ q[:3] + x.second[j] @ q[3:] for i, j in x.walk(q)]
-    assert len(sums) == 35 and (np.diff(sums) <= 1e-12).all() and len(set(x.walk(q))) == 35
+    walked = [(s, i[0], j[0]) for s, n, i, j in x.walk(q) if n == 1]
+    sums = [x.first[i] @ q[:3] + x.second[j] @ q[3:] for _, i, j in walked]
+    assert np.allclose(sums, [w[0] for w in walked])
+    assert len(sums) == 35 and (np.diff(sums) <= 1e-12).all() and len({w[1:] for w in walked}) == 35
+    assert np.isclose(x.least_sum(q), sums[11])
+
+
+def test_walk_by_runs_visits_every_cell_once():
+    rng = np.random.default_rng(2)
+    counts = rng.integers(0, 5, (100, 90))
+    x = ann.MultiIndex(rng.standard_normal((100, 4)), rng.standard_normal((90, 4)), counts, 500)
+    q = rng.standard_normal(8)
+    seen = np.zeros((100, 90), int)
+    for s, n, i, j in x.walk(q):
+        assert n == counts[np.ix_(i, j)].sum()
+        seen[np.ix_(i, j)] += 1
+    assert (seen == 1).all()
+    a, b = x.sums(q[None])
+    assert counts[a[0][:, None] + b[0][None, :] >= x.least_sum(q)].sum() >= 500
+
+
+def test_blocks_share_and_split():
+    first, parts = ann.blocks_of(np.array([3, 4, 25, 0, 9, 2]), 10)
+    assert parts.tolist() == [1, 1, 3, 1, 1, 1] and first.tolist() == [0, 0, 1, 4, 4, 5]
 
 
 URLS = [
