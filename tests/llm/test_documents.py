@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -70,16 +71,44 @@ def test_secrets(docs, nothing):
     assert secret_scan.secret_digest(nothing).count() == 0
 
 
+def brute_windows(s, cls, allow):
+    w, found = cls.window, []
+    hidden = [m.span() for m in re.finditer(allow, s)]
+    for i in range(len(s) - w + 1):
+        x = s[i : i + w]
+        h = -sum(c / w * np.log2(c / w) for c in Counter(x).values())
+        if h >= cls.bits - 1e-9 and re.search("[0-9]", x) and re.search("[A-Za-z]", x) and not any(a < i + w and b > i for a, b in hidden):
+            if found and found[-1][1] >= i:
+                found[-1] = (found[-1][0], i + w)
+            else:
+                found.append((i, i + w))
+    return found
+
+
 def test_window_entropy(spark):
-    cls = secret_scan.CharClass("k", "a-z", 8, 2.5)
+    cls = secret_scan.CharClass("k", "0-9a-z_", 8, 2.5)
     rng = np.random.default_rng(4)
-    runs = ["".join(rng.choice(list("abcdefgh"), int(n))) for n in rng.integers(8, 40, 40)] + ["a" * 30]
-    got = spark.createDataFrame([(r,) for r in runs], "r string").select("r", secret_scan.high_entropy(F.col("r"), cls).alias("e")).collect()
+    runs = ["".join(rng.choice(list("abcdef01_"), int(n))) for n in rng.integers(1, 60, 60)] + ["a" * 30, "a1b2c3d4e5f6g7h8example1a2b3c4d5e6f7g8h", "x9y8z7w6" * 3 + "a" * 12 + "x9y8z7w6"]
+    allow = secret_scan.ALLOW
+    x = spark.createDataFrame([(r,) for r in runs], "r string").withColumn("a", secret_scan.match_spans(F.col("r"), allow, "a", 0))
+    got = x.select("r", secret_scan.suspect_windows(F.col("r"), cls, F.col("a")).alias("e")).collect()
     for r in got:
-        s = r["r"]
-        h = [-sum(c / 8 * np.log2(c / 8) for c in Counter(s[i : i + 8]).values()) for i in range(len(s) - 7)]
-        at = [i for i, x in enumerate(h) if x >= 2.5 - 1e-9]
-        assert tuple(r["e"])[1:] == ((at[0], at[-1] + 8) if at else (-1, -1))
+        assert [tuple(e) for e in r["e"]] == brute_windows(r["r"], cls, allow), r["r"]
+    assert sum(len(r["e"]) for r in got) > 20
+
+
+def test_entropy_spans_of_texts(spark):
+    key = "Zk3vT9qLw8XyPb2RmN5sDh7U"
+    texts = [f"a {key} b", f"/cfg/example/{key}", f"{key}/example", f"example{key[:21]}", "sha256-" + key * 2, f"{key} {key}", "no secret in here_at_all-really/not/one", key[:19]]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_digest(d).collect()}
+    for i, t in enumerate(texts):
+        want = []
+        for cls in secret_scan.CLASSES:
+            for m in re.finditer(f"[{cls.chars}]{{{cls.window},}}", t):
+                want += [(m.start() + a, cls.kind, m.start() + b) for a, b in brute_windows(m[0], cls, secret_scan.ALLOW)]
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for a, k, b in sorted(want, key=lambda x: (x[0], [c.kind for c in secret_scan.CLASSES].index(x[1]))))
+    assert got[0] and got[1] and got[2] and not got[4] and not got[6] and not got[7]
 
 
 def test_redaction(docs):
@@ -186,7 +215,7 @@ def test_anchors_find_every_near_fingerprint(spark):
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
     flips = [np.bitwise_xor.reduce(np.uint64(1) << rng.choice(64, k, replace=False).astype(np.uint64)) for k in (1, 2, 3, 3, 4)]
     fps = np.unique(np.concatenate([base, *[base ^ f for f in flips], base ^ flips[1] ^ flips[2]])).view(np.int64)
-    rec = simhash.anchor_records(fps, fps.view(np.uint64)[:, None])
+    rec = simhash.anchor_records(fps)
     at = defaultdict(set)
     for a, i, h in rec.itertuples(index=False):
         at[a].add((i, h))
@@ -196,6 +225,21 @@ def test_anchors_find_every_near_fingerprint(spark):
     assert near and all((a, b) in met or (b, a) in met for a, b in near)
 
 
+def test_hot_anchors_are_split_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_ANCHOR", 4)
+    rng = np.random.default_rng(3)
+    half = np.uint64(0x5A5A1234)  # one half that most share: its anchors are hot
+    other = rng.integers(0, 2**32, 300, dtype=np.uint64) << np.uint64(32)
+    flips = [np.bitwise_xor.reduce(np.uint64(1) << rng.choice(64, 3, replace=False).astype(np.uint64)) for _ in range(20)]
+    u = np.unique(np.concatenate([other | half, *[(other[:40] | half) ^ f for f in flips]]))
+    fps = spark.createDataFrame([(int(x),) for x in u.view(np.int64)], "fp bigint")
+    got = {r["id"]: r["component"] for r in simhash.components(simhash.fingerprint_links(fps)).collect()}
+    ids = u.view(np.int64).tolist()
+    apart = np.bitwise_count(u[:, None] ^ u[None, :])
+    want = components(ids, [(ids[a], ids[b]) for a, b in zip(*np.nonzero((apart <= 3) & (apart > 0)))])
+    assert {i: got.get(i, i) for i in ids} == want
+
+
 def test_near_copies(spark, docs, nothing):
     kept = simhash.drop_near_duplicates(docs)
     ids = [r["doc_id"] for r in kept.select("doc_id").collect()]
@@ -314,9 +358,23 @@ def test_hilbert(docs, nothing):
     assert hilbert.shard_documents(nothing).count() == 0
 
 
-def test_written_shards(spark, docs, tmp_path):
-    hilbert.write_shards(docs, str(tmp_path / "s"), 4)
-    assert spark.read.parquet(str(tmp_path / "s")).count() == docs.count()
+def test_written_shards_keep_the_law(spark, docs, tmp_path):
+    same = spark.createDataFrame([(1, "equal", "en", "s", 5)] * 30 + [(i, f"text {i}", "en", f"s{i}", 6) for i in range(10)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for k, d in enumerate((docs, same)):
+        hilbert.write_shards(d, str(tmp_path / f"s{k}"), 4)
+        got = spark.read.parquet(str(tmp_path / f"s{k}"))
+        assert set(got.columns) == {*d.columns, "shard"} and got.select(d.columns).exceptAll(d).count() == 0 and got.count() == d.count()
+        n = [r["count"] for r in got.groupBy("shard").count().collect()]
+        assert len(n) == 4 and max(n) - min(n) <= 1
+
+
+def test_strings_are_cut_by_weighted_rank(spark):
+    names = [f"https://host.example/{k:02d}" for k in range(16)]
+    values = spark.createDataFrame([(n,) for k, n in enumerate(names) for _ in range(1 if k else 50)] + [(None,)], "v string")
+    cuts = hilbert.string_cuts(values, 8)
+    assert cuts[0] == names[0] and 3 <= len(cuts) <= 7 and set(cuts) <= set(names)
+    assert hilbert.cells(pa.array([None, "", names[0], names[1], "z"]), cuts).tolist() == [0, 0, 0, 1, len(cuts)]
+    assert hilbert.string_cuts(values.limit(0), 8) == []
 
 
 def quality_table(spark, n=240):
@@ -364,6 +422,41 @@ def test_scores_do_not_depend_on_neighbours():
     assert alone[5] == pytest.approx(1 / (1 + np.exp(-(table[at] * w).sum() - 0.1)), abs=1e-6)
 
 
+def test_pieces_change_nothing(monkeypatch):
+    table = np.random.default_rng(1).standard_normal(subword.BUCKETS)
+    text = ("  " + prose(3, 900) + "\n\tword word  end ").encode()
+    assert len(text) < subword.PIECE
+    whole = subword.score_texts([b"x", text, b"", b"y z"], table, 0.2)
+    monkeypatch.setattr(subword, "PIECE", 64)
+    parts = [p for p, _ in subword.pieces(text)]
+    assert len(parts) > 50 and max(map(len, parts)) < 140
+    assert np.allclose(subword.score_texts([b"x", text, b"", b"y z"], table, 0.2), whole, rtol=0, atol=1e-12)
+
+
+def test_a_very_long_text_needs_little_memory():
+    import tracemalloc
+
+    table = np.zeros(subword.BUCKETS)
+    text = b"lorem ipsum dolor " * 500_000 + b"x" * 1_000_000  # 10 MB, one word longer than a piece
+    tracemalloc.start()
+    assert subword.score_texts([text], table, 0.0)[0] == 0.5
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+
+
+def test_held_out_accuracy_on_the_tables(spark, data):
+    from txrisk.llm.common import table as read
+
+    at = data.replace("0.001", "0.1")
+    labels = read(spark, at, "labels").where("quality in (0, 1)")
+    got = subword.quality_scores(read(spark, at, "documents").join(labels.select("doc_id"), "doc_id", "left_semi"), labels)
+    rows = got.where("held_out").join(labels, "doc_id").select("score", "predicted", "quality").collect()
+    y, s = np.array([r["quality"] for r in rows]), np.array([r["score"] for r in rows])
+    pairs = s[y == 1][:, None] - s[y == 0][None, :]
+    assert len(y) > 500 and (pairs > 0).mean() + 0.5 * (pairs == 0).mean() > 0.98
+    assert np.mean([r["predicted"] == r["quality"] for r in rows]) > 0.97
+
+
 def sources(spark):
     sizes = {"big": 300, "mid": 60, "small": 12, None: 20}
     rows = [(f"{s}-{i}", s, prose(i, 20)) for s, n in sizes.items() for i in range(n)]

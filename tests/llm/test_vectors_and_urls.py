@@ -64,12 +64,10 @@ def test_near_vectors_of_odd_tables(spark):
 
 def test_calibration_keeps_pairs_at_the_threshold():
     angle = math.acos(0.93)
-    window, least = collisions.least_collisions(64, angle, 16)
-    axes, rng = collisions.orthogonal(64, 16), np.random.default_rng(2)
+    window, least = collisions.least_collisions(64, angle, 32)
+    axes, rng = collisions.orthogonal(64, 32), np.random.default_rng(2)
     a = collisions.unit(rng.standard_normal((4000, 64)))
-    b = rng.standard_normal((4000, 64))
-    b = collisions.unit(b - (a * b).sum(1, keepdims=True) * a)
-    b = 0.93 * a + math.sin(angle) * b
+    b = at_cosine(a, 0.93, rng)
     assert ((np.abs((a - b) @ axes) <= window).sum(1) >= least).mean() > 0.999
     c = collisions.Cells(64, angle, 10**6)
     k = np.full(4000, c.k)
@@ -77,18 +75,39 @@ def test_calibration_keeps_pairs_at_the_threshold():
     assert c.k > 4 and met.mean() > 0.998
 
 
-def test_only_the_count_rejects_pairs():
-    angle, rng = math.acos(0.93), np.random.default_rng(4)
-    window, least = collisions.least_collisions(64, angle, 16)
-    axes = collisions.orthogonal(64, 16)
-    a = collisions.unit(rng.standard_normal((2000, 64)))
-    b = rng.standard_normal((2000, 64))
+def at_cosine(a, cosine, rng):
+    b = rng.standard_normal(a.shape)
     b = collisions.unit(b - (a * b).sum(1, keepdims=True) * a)
-    b = 0.9301 * a + math.sin(math.acos(0.9301)) * b
-    counted = (np.abs((a - b) @ axes) <= window).sum(1) >= least
-    got = collisions.singles(np.concatenate([a, b]), np.arange(4000), None, 0.93, axes, window, least)
-    found = {tuple(x) for x in got.tolist()}
-    assert counted.mean() > 0.999 and {(int(i), int(i) + 2000) for i in np.flatnonzero(counted)} <= found
+    return cosine * a + math.sin(math.acos(cosine)) * b
+
+
+@pytest.mark.parametrize("radius", [0.0, 0.1])
+def test_only_the_count_rejects_pairs(radius):
+    angle, rng, n = math.acos(0.93), np.random.default_rng(4), collisions.PROJECTIONS
+    window, least = collisions.least_collisions(64, angle, n)
+    a = collisions.unit(rng.standard_normal((2000, 64)))
+    b = at_cosine(a, math.cos(math.acos(0.9301) + 2 * radius), rng)
+    p = collisions.projected(np.concatenate([a, b]), collisions.orthogonal(64, n), window)
+    wide = math.ceil(2 * math.sin(angle / 2 + radius) * collisions.STEPS / (2 * math.sin(angle / 2))) + 1
+    counted = (np.abs(p[:2000].astype(int) - p[2000:].astype(int)) <= wide).sum(1) >= least
+    got = collisions.collisions(p, np.full(4000, radius), angle, window, least)
+    found = {tuple(sorted(x)) for x in got.tolist()}
+    assert len(found) == len(got) and counted.mean() > 0.999
+    assert {(int(i), int(i) + 2000) for i in np.flatnonzero(counted)} <= found
+
+
+def test_planted_links_under_default_parameters(spark):
+    rng = np.random.default_rng(12)
+    x = collisions.unit(rng.standard_normal((6000, 32)))
+    x[1000:1300] = at_cosine(x[:300], 0.9305, rng)
+    x[2000:2300] = at_cosine(x[300:600], 0.97, rng)
+    x[3000:3600] = collisions.unit(x[3000] + 0.06 * rng.standard_normal((600, 32)))  # near copies about a centre: linked, ringed and apart
+    x = x.astype(np.float32)
+    got = {r["vec_id"]: r["n_links"] for r in collisions.near_vectors(table(spark, [(i, v, 1) for i, v in enumerate(x)])).collect()}
+    u = collisions.unit(x.astype(float))
+    links = (u @ u.T >= 0.93).sum(1) - 1
+    assert links.max() > 200 and (links[1000:1300] >= 1).all() and links[3000:3600].std() > 1
+    assert [got[i] for i in range(6000)] == links.tolist()
 
 
 def brute_top(ids, x, q, k):
@@ -228,6 +247,28 @@ def test_trees_learn_lexical_labels():
         urls.append((f"http://{host}{path}", host, path))
         y.append(float(bad))
     y = np.array(y)
-    model = url_filter.train(urls[:800], y[:800])
-    x = np.array([model.lexical(*u) for u in urls[800:]], float)
-    assert ((model.raw(x) > 0) == (y[800:] == 1)).mean() > 0.97
+    x, k = url_filter.described(urls)
+    model = url_filter.train(x[:800], k[:800], y[:800])
+    assert ((model.raw(model.features(x[800:], k[800:])) > 0) == (y[800:] == 1)).mean() > 0.97
+
+
+def test_suffix_statistics_do_not_leak_labels():
+    rng = np.random.default_rng(5)
+    urls = [(f"http://h.own{i}/x", f"h.own{i}", "/x") for i in range(600)]  # every suffix stands once
+    y = (rng.random(600) < 0.5).astype(float)
+    x, k = url_filter.described(urls)
+    x[:] = 0  # nothing else to learn from
+    model = url_filter.train(x[:400], k[:400], y[:400])
+    assert ((model.raw(model.features(x[400:], k[400:])) > 0) == (y[400:] == 1)).mean() < 0.65
+
+
+def test_trees_of_the_table_hold_out(spark, data):
+    from txrisk.llm.common import table as read
+
+    p = url_filter.parsed(read(spark, data.replace("0.001", "0.01"), "pages"))
+    x, k, y = url_filter.labelled_sample(p)
+    assert len(y) > 100 and 0 < y.mean() < 1
+    test = np.arange(len(y)) % 4 == 0
+    model = url_filter.train(x[~test], k[~test], y[~test])
+    right = ((model.raw(model.features(x[test], k[test])) > 0) == (y[test] == 1)).mean()
+    assert right >= max(y[test].mean(), 1 - y[test].mean())

@@ -5,18 +5,21 @@ angle is at most t.  Linked unit vectors differ by at most ``2 sin(t / 2)``, and
 it on a random line.
 
 1. *Balls.*  Vectors of one label are dealt to blocks of bounded size by a coarse cell, and there
-   vectors within 0.45 t of a leader make a ball.  Any two of a ball are linked, so a group of near
-   copies is one member from here on, however large; its pairs are counted, not listed.
-2. *Rounds.*  In each round rows get the cell of K projections cut into steps with random offsets;
+   vectors within 0.45 t of a leader make a ball, with a centre and a radius (0 for a single vector).
+   Any two of a ball are linked, so a group of near copies is one class row from here on, however
+   large; its pairs are counted, not listed.
+2. *Rounds.*  In each round class rows get the cell of K projections cut into steps with random offsets;
    K follows from the label's row count, the number of rounds from the chance that a pair at the very
    threshold shares a cell, so that the chance to miss it in all rounds is ``MISS``.  Up to ``CELL``
-   rows a label has one cell and one round, and cells miss nothing there.
-3. *Counting.*  Inside a cell the members are sorted along the first projection.  Partners are all that
-   are no farther there than linked vectors can be, and on every projection the partners inside the
-   query-centred window score a collision.  Pairs with as many collisions as all but ``MISS`` of pairs at the
-   threshold have (calibrated by simulation) are verified by their cosine in double precision.
-   Balls are compared by centre and radius: pairs of balls are linked as a whole, not at all, or, in
-   the narrow ring between, member by member.
+   rows a label needs no cut (K is 0), and cells miss nothing there.
+3. *Counting.*  Inside a cell class rows carry their projections alone, in bytes.  They are sorted along
+   the first line; partners are all that are no farther there than linked members can be, and on
+   every line the partners inside the query-centred window score a collision.  Windows are as wide as
+   the angle t and both radii ask for.  Pairs with as many collisions as all but ``MISS`` of pairs at the
+   threshold have (calibrated by simulation) go on, and no other pair does.
+4. *Verification.*  The pairs get their centres: two class rows are linked as a whole, not at all, or,
+   in the narrow ring between, by the cosines of their members in double precision, in bounded blocks
+   of which each gives counts per row, so no list of pairs grows with the square of a ball.
 
 Null labels, and vectors that are null, zero or hold null or non-finite components, link with nothing,
 nor do vectors of different lengths.  Each row is a vector of its own, also where ids repeat.
@@ -32,20 +35,25 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import discard, stash
 from .graph import components
 from .vectors import stacked, usable
 
 CELL = 2048
 BLOCK = 4096
-PROJECTIONS = 16
+PROJECTIONS = 32
+#: Lines that are counted for every pair; the others only where these leave enough collisions possible.
+FIRST_LINES = 16
 WINDOW = 2.5
 MISS = 1e-4
 STEP = 2.0
 CHUNK = 256
-SAFE = 1e-9
-
-ENTRY = "ball bigint, label int, size bigint, radius double, c binary"
+#: Steps of a projection's byte in a window of single vectors; what a byte cannot tell widens the windows.
+STEPS = 24
+#: Angles from double-precision cosines near 1 are off by up to 2e-8.
+SAFE = 1e-6
+#: Members of a ball that are compared with members of another at a time.
+MEMBERS = 256
 
 
 def lines(d: int, n: int, seed: int) -> np.ndarray:
@@ -129,30 +137,48 @@ def make_balls(rows: np.ndarray, u: np.ndarray, angle: float) -> tuple[np.ndarra
     return ball, made
 
 
-def singles(u: np.ndarray, ids: np.ndarray, other: np.ndarray | None, cosine: float, axes: np.ndarray, window: float, least: int) -> np.ndarray:
-    """Linked pairs (i, j) of single vectors; ``other`` tells the side of each, or is None for one side."""
-    p = (u @ axes).astype(np.float32)
+def projected(u: np.ndarray, axes: np.ndarray, window: float) -> np.ndarray:
+    """Projections in whole steps of a window's ``STEPS``-th part; far ones are drawn in, which brings none apart."""
+    return np.clip(np.rint(u @ axes * (STEPS / window)), -127, 127).astype(np.int8)
+
+
+def collisions(p: np.ndarray, radius: np.ndarray, angle: float, window: float, least: int) -> np.ndarray:
+    """Pairs (i, j) of class rows with at least ``least`` collisions, each once.
+
+    ``p``: projections in steps, one row each.  Linked members of balls whose centres are ``angle`` and both
+    radii apart at most are as single vectors at that angle, so windows grow with the gap.
+    """
     order = np.argsort(p[:, 0], kind="stable")
-    p, first = p[order], p[order, 0]
-    window = np.float32(window * (1 + 1e-5))
-    reach = np.float32(math.sqrt(2 - 2 * cosine) * (1 + 1e-5) + 1e-6)
+    p, r = p[order].astype(np.int16), radius[order]
+    gap = 2 * math.sin(angle / 2)
+    per_gap = STEPS / gap  # steps of a window for each unit of the gap
+    unit_steps = STEPS / window  # steps of a projection for each unit of length
+    first, n, lines = p[:, 0], len(p), p.shape[1]
+    most = r.max(initial=0.0)
     out = []
-    for lo in range(0, len(order), CHUNK):
-        q = p[lo : lo + CHUNK]
-        a, b = np.searchsorted(first, q[0, 0] - reach), np.searchsorted(first, q[-1, 0] + reach, side="right")
-        hits = np.zeros((len(q), b - a), np.int8)
-        for k in range(p.shape[1]):
-            hits += np.abs(q[:, k, None] - p[None, a:b, k]) <= window
-        i, j = np.nonzero(hits >= least)
-        i, j = order[i + lo], order[j + a]
-        keep = ids[i] < ids[j]
-        if other is not None:
-            keep &= other[i] != other[j]
+    for lo in range(0, n, CHUNK):
+        hi = min(lo + CHUNK, n)
+        wide = 2 * math.sin(min(math.pi, angle + r[lo:hi].max() + most) / 2)
+        # Later rows only: each pair is met once, from its lower end.
+        b = np.searchsorted(first, first[hi - 1] + wide * unit_steps + 1, side="right")
+        q, x = p[lo:hi], p[lo:b]
+        if most or r[lo:hi].any():
+            apart = 2 * np.sin(np.minimum(math.pi, angle + r[lo:hi, None] + r[None, lo:b]) / 2)
+            w = np.ceil(apart * per_gap).astype(np.int16) + 1
+        else:
+            w = np.int16(STEPS + 1)
+        hits = np.zeros((hi - lo, b - lo), np.int8)
+        for k in range(min(FIRST_LINES, lines)):
+            hits += np.abs(q[:, k, None] - x[None, :, k]) <= w
+        i, j = np.nonzero(hits >= least - max(0, lines - FIRST_LINES))
+        keep = j > i
         i, j = i[keep], j[keep]
-        for s in range(0, len(i), 1 << 15):
-            x, y = i[s : s + (1 << 15)], j[s : s + (1 << 15)]
-            ok = np.einsum("ij,ij->i", u[x], u[y]) >= cosine
-            out.append(np.stack([x[ok], y[ok]], 1))
+        if lines > FIRST_LINES:
+            own = w[i, j][:, None] if isinstance(w, np.ndarray) and w.ndim else w
+            more = (np.abs(q[i, FIRST_LINES:] - x[j, FIRST_LINES:]) <= own).sum(1)
+            keep = hits[i, j] + more >= least
+            i, j = i[keep], j[keep]
+        out.append(np.stack([order[i + lo], order[j + lo]], 1))
     return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
 
 
@@ -209,7 +235,7 @@ def _linked(rows: DataFrame, d: int, most: int, angle: float, cosine: float) ->
             balls, "_row bigint, label int, k bigint, u binary, ball bigint, size bigint, radius double, c binary"
         )
     )
-    heads = members.where("size is not null").select("ball", "label", "size", "radius", "c")
+    heads = stash(members.where("size is not null").select("ball", "label", "size", "radius", "c"))
 
     def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -218,11 +244,19 @@ def _linked(rows: DataFrame, d: int, most: int, angle: float, cosine: float) ->
             for at in range(1, cells.rounds + 1):
                 on = rounds >= at
                 if on.any():
-                    yield pd.DataFrame({"ball": b["ball"][on], "round": at, "cell": cells.of(u[on], k[on], at)})
+                    yield pd.DataFrame({"label": b["label"][on], "round": at, "cell": cells.of(u[on], k[on], at), "ball": b["ball"][on]})
+
+    def on_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                p = projected(stacked(b["c"]), axes, window)
+                yield b.drop(columns="c").assign(p=[x.tobytes() for x in p])
 
-    entered = members.select("ball", "k", "u").mapInPandas(enter, "ball bigint, round int, cell bigint").distinct()
-    entries = stash(entered.join(heads, "ball"))
+    # A ball stands in the cells of all its members.
     place = ["label", "round", "cell"]
+    entered = members.select("label", "k", "u", "ball").mapInPandas(enter, "label int, round int, cell bigint, ball bigint")
+    lines_of = heads.select("ball", "radius", "c").mapInPandas(on_lines, "ball bigint, radius double, p binary")
+    entries = stash(entered.distinct().join(lines_of, "ball"))
     split = entries.groupBy(*place).agg(F.ceil(F.count("*") / CELL).alias("parts"))
     split = (
         entries.join(split, place)
@@ -232,46 +266,61 @@ def _linked(rows: DataFrame, d: int, most: int, angle: float, cosine: float) ->
     )
 
     def count(b: pd.DataFrame) -> pd.DataFrame:
-        side = None if b["lo"].iloc[0] == b["hi"].iloc[0] else b["own"].to_numpy()
-        ids, size, r, u = b["ball"].to_numpy(), b["size"].to_numpy(), b["radius"].to_numpy(), stacked(b["c"])
-        one = np.flatnonzero(size == 1)
-        found = one[singles(u[one], ids[one], None if side is None else side[one], cosine, axes, window, least)]
-        out = [pd.DataFrame({"a": ids[found[:, 0]], "b": ids[found[:, 1]], "whole": True})]
-        for i in np.flatnonzero(size > 1):
-            apart = arccos(u @ u[i])
-            near = apart - r - r[i] <= angle + SAFE
-            near &= (ids < ids[i]) | (size == 1)
-            near[i] = False
-            if side is not None:
-                near &= side != side[i]
-            whole = (apart + r + r[i] <= angle - SAFE)[near]
-            x = ids[near]
-            out.append(pd.DataFrame({"a": np.minimum(x, ids[i]), "b": np.maximum(x, ids[i]), "whole": whole}))
-        return pd.concat(out)
-
-    pairs = split.groupBy(*place, "lo", "hi").applyInPandas(count, "a bigint, b bigint, whole boolean").distinct()
-    pairs = stash(pairs)
+        ids, own = b["ball"].to_numpy(), b["own"].to_numpy()
+        p = np.frombuffer(b"".join(b["p"]), np.int8).reshape(len(b), -1)
+        found = collisions(p, b["radius"].to_numpy(), angle, window, least)
+        if b["lo"].iloc[0] != b["hi"].iloc[0]:  # pairs of one part are met where both numbers are its own
+            found = found[own[found[:, 0]] != own[found[:, 1]]]
+        x, y = ids[found[:, 0]], ids[found[:, 1]]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    counted = stash(split.groupBy(*place, "lo", "hi").applyInPandas(count, "a bigint, b bigint").distinct())
+    discard(entries)
+
+    def side(name: str, to: str) -> DataFrame:
+        return heads.select(F.col("ball").alias(name), F.col("c").alias(f"c{to}"), F.col("radius").alias(f"r{to}"), (F.col("size") == 1).alias(f"one{to}"))
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            if len(b):
+                cos = np.einsum("ij,ij->i", stacked(b["cx"]), stacked(b["cy"]))
+                r = (b["rx"] + b["ry"]).to_numpy()
+                single = (b["onex"] & b["oney"]).to_numpy()
+                apart = arccos(cos)
+                whole = np.where(single, cos >= cosine, apart + r <= angle - SAFE)
+                keep = np.where(single, whole, apart - r <= angle + SAFE)
+                yield b.loc[keep, ["a", "b"]].assign(whole=whole[keep])
+
+    pairs = stash(counted.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(decide, "a bigint, b bigint, whole boolean"))
 
     size = heads.select("ball", "size")
     whole = pairs.where("whole").select("a", "b")
     both = whole.union(whole.select("b", "a"))
     by_ball = both.join(size.withColumnRenamed("ball", "b"), "b").groupBy(F.col("a").alias("ball")).agg(F.sum("size").alias("more"))
 
-    # The ring between: member by member, listed only for pairs of balls that are neither near nor far.
+    # The ring between: blocks of members against blocks of members.
     ring = pairs.where("not whole").select("a", "b")
-    left = members.select(F.col("ball").alias("a"), F.col("_row").alias("x"), F.col("u").alias("ux"))
-    right = members.select(F.col("ball").alias("b"), F.col("_row").alias("y"), F.col("u").alias("uy"))
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    ringed = ring.select(F.col("a").alias("ball")).union(ring.select(F.col("b").alias("ball"))).distinct()
+    dealt = members.join(ringed, "ball", "left_semi").join(size.withColumn("blocks", F.ceil(F.col("size") / MEMBERS)).drop("size"), "ball")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("_row"), F.col("blocks")))
+    # A block holds about MEMBERS rows, whatever the ball.
+    blocks = dealt.groupBy("ball", "block").agg(F.collect_list(F.struct("_row", "u")).alias("rows"))
+    blocks = stash(blocks.select("ball", F.col("rows._row").alias("rows"), F.col("rows.u").alias("us")))
+    left = blocks.select(F.col("ball").alias("a"), F.col("rows").alias("x"), F.col("us").alias("ux"))
+    right = blocks.select(F.col("ball").alias("b"), F.col("rows").alias("y"), F.col("us").alias("uy"))
+
+    def members_linked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            if len(b):
-                ok = np.einsum("ij,ij->i", stacked(b["ux"]), stacked(b["uy"])) >= cosine
-                yield b.loc[ok, ["a", "b", "x", "y"]]
+            for one in b.itertuples(index=False):
+                near = stacked(one.ux) @ stacked(one.uy).T >= cosine
+                for rows, some in ((one.x, near.sum(1)), (one.y, near.sum(0))):
+                    on = some > 0
+                    yield pd.DataFrame({"a": one.a, "b": one.b, "_row": np.asarray(rows)[on], "some": some[on]})
 
-    listed = stash(ring.join(left, "a").join(right, "b").mapInPandas(verify, "a bigint, b bigint, x bigint, y bigint"))
-    by_row = listed.select(F.col("x").alias("_row")).union(listed.select(F.col("y").alias("_row"))).groupBy("_row").agg(F.count("*").alias("some"))
+    listed = stash(ring.join(left, "a").join(right, "b").mapInPandas(members_linked, "a bigint, b bigint, _row bigint, some bigint"))
+    by_row = listed.groupBy("_row").agg(F.sum("some").alias("some"))
 
-    joined = components(whole.union(listed.select("a", "b"))).select(F.col("id").alias("ball"), "component")
+    joined = components(whole.union(listed.select("a", "b").distinct())).select(F.col("id").alias("ball"), "component")
     per_row = (
         members.select("_row", "ball")
         .join(ids, "_row")
@@ -283,6 +332,9 @@ def _linked(rows: DataFrame, d: int, most: int, angle: float, cosine: float) ->
     )
     least_id = per_row.groupBy("component").agg(F.min("vec_id").alias("component_id"))
     links = F.col("size") - 1 + F.coalesce("more", F.lit(0)) + F.coalesce("some", F.lit(0))
-    return per_row.join(least_id, "component").select(
+    out = per_row.join(least_id, "component").select(
         "vec_id", links.cast("long").alias("n_links"), "component_id", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
+    out = stash(out)
+    discard(rows, members, heads, counted, pairs, blocks, listed)
+    return out

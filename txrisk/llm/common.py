@@ -2,79 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dirs: dict[str, str] = {}
-#: Folders that ``stash`` has written and nobody has discarded, with their sessions.
-_written: dict[str, SparkSession] = {}
-
+from txrisk.storage import discard, scratch, stash  # noqa: F401
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below ``sf_dir``."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share.
-
-    It is the cluster's ``spark.checkpoint.dir``.  Only where that is unset and all tasks run in the
-    driver's own process (tests) a folder of our own is made; a cluster without the setting is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named.rstrip("/")
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _own_dirs:
-        _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="txrisk-")
-    return _own_dirs[app]
-
-
-def stash(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back.
-
-    This cuts the lineage in a way that a lost executor cannot undo, gives the next plan true
-    sizes, and makes values such as row numbers stable.  ``discard`` deletes the table once nothing
-    reads it; what is left goes when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/txrisk-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written[path] = spark
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stash_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete stashed tables that no later plan reads."""
-    for t in tables:
-        _delete(t.stash_path)
-
-
-def _delete(path: str) -> None:
-    spark = _written.pop(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-@atexit.register
-def _delete_all() -> None:
-    for path in list(_written):
-        with contextlib.suppress(Exception):  # the session may have ended before
-            _delete(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

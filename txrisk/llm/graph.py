@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from .common import discard, stash
 
 
+#: Edges that a task takes when labels travel along them.
+EDGES_EACH = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every id in ``edges`` (a, b): the smallest id reachable.
 
@@ -24,12 +28,13 @@ def components(edges: DataFrame) -> DataFrame:
     state is written to the shared folder after every round, and the last round's is deleted.
     """
     both = stash(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    labels = stash(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")))
+    tasks = 1 + both.count() // EDGES_EACH  # few edges are not worth many small files
+    labels = stash(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")).coalesce(tasks))
     while True:
         heard = both.join(labels, both["a"] == labels["id"]).groupBy(F.col("b").alias("id")).agg(F.min("component").alias("heard"))
         lower = labels.join(heard, "id").select("id", F.col("component").alias("old"), F.least("component", "heard").alias("mid"))
         jump = labels.select(F.col("id").alias("mid"), F.col("component").alias("end"))
-        new = stash(lower.join(jump, "mid", "left").select("id", "old", F.least("mid", "end").alias("component")))
+        new = stash(lower.join(jump, "mid", "left").select("id", "old", F.least("mid", "end").alias("component")).coalesce(tasks))
         changed = new.where("old <> component").limit(1).count()
         discard(labels)
         labels = new

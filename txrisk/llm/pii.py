@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, stash, whole
+from .common import KEY, discard, keyed, let, stash, whole
 from .spans import count_kind, digest, in_order, match_spans, no_spans, replaced
 
 # The possessive forms match what the plain patterns match, in linear time and without recursion: a
@@ -40,6 +40,8 @@ GENERALISE = 0.5
 REMOVE = 0.8
 #: A joined side is broadcast up to so many rows (about 10 MB), and shuffled beyond.
 SMALL_ROWS = 100_000
+#: Terms of more than this share of the documents are left out before words are shuffled, if they can reveal nothing.
+HOT_SHARE = 0.001
 
 
 def luhn(digits: Column) -> Column:
@@ -117,9 +119,14 @@ def protected(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataF
     df = stash(df.join(own.select("term").distinct(), "term", "left_semi"))
     # No entity of the row is so frequent that a more frequent term could reveal it; 1e-9 is for rounding.
     bound = F.col("df_e") * F.pow(F.lit(n) / F.col("df_e"), F.lit(1 - GENERALISE)) * (1 + 1e-9)
-    most_df = holds.groupBy("_row").agg(F.max(bound).alias("most_df"))
-    own = _joined(own, df, ["term"]).join(most_df, "_row").where("df_t <= most_df").select("_row", "term", "df_t")
-    meet = stash(own.join(holds, "_row").where(F.col("df_t") <= bound))
+    most_df = stash(holds.groupBy("_row").agg(F.max(bound).alias("most_df")))
+    # Words like "the" stand in most rows.  They are few: a text of w terms on average has w / HOT_SHARE at most.
+    top = most_df.agg(F.max("most_df")).first()[0] or 0.0
+    hot = df.where(F.col("df_t") > max(top, n * HOT_SHARE)).select("term")
+    rare = own.join(F.broadcast(hot), "term", "left_anti")
+    rare = _joined(rare, df, ["term"]).join(most_df, "_row").where("df_t <= most_df").select("_row", "term", "df_t")
+    meet = stash(rare.join(holds, "_row").where(F.col("df_t") <= bound))
+    discard(own, df, most_df)
     bits = F.log2(F.lit(n) * F.col("co") / (F.col("df_t").cast("double") * F.col("df_e")))
     most = F.log2(F.lit(n) / F.col("df_e"))
     judged = stash(
@@ -148,9 +155,9 @@ def protected(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataF
         kind = F.element_at(kinds, F.lower(t["m"]))
         return F.struct(t["start"], F.when(kind == "term_removed", 5).otherwise(4).alias("rank"), t["end"], kind.alias("kind"), F.lit("").alias("m"))
 
-    added = held.select("_row", F.transform(spans, marked).alias("_added"))
-    rows = rows.drop("_text")
-    return rows, added
+    added = stash(held.select("_row", F.transform(spans, marked).alias("_added")))
+    discard(holds, meet, judged)
+    return rows.drop("_text"), added
 
 
 def pii_digest(docs: DataFrame) -> DataFrame:
@@ -168,19 +175,16 @@ def pii_digest(docs: DataFrame) -> DataFrame:
 def sanitise(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with base spans masked by kind, general terms by ``<TERM>`` and removed terms left out.
 
-    The texts are joined back by row key: a hash and length of the text and the row's other columns
-    are not needed, since equal texts have equal spans.
+    All rows count in the corpus statistics, repeated ones too, as in ``pii_digest``, and spans come back to
+    their rows by key.
     """
-    text = whole(F.col(f"`{text_col}`"))
-    keyed = docs.select(text.alias("_s")).distinct()
-    rows, added = protected(keyed.withColumnRenamed("_s", "text").withColumn("_copy", F.col("text")))
+    packed = keyed(docs)
+    rows, added = protected(packed.select(*KEY, F.col("r")[text_col].alias("text")))
     s = rows.join(added, "_row", "left").withColumn("_all", in_order(F.concat("_base", F.coalesce("_added", no_spans()))))
+    marked = _joined(packed, stash(s.where("size(_all) > 0").select(*KEY, "_all")), KEY, "left")
     mask = lambda x: F.when(x["kind"] == "term_removed", F.lit("")).when(
         x["kind"] == "term_general", F.lit("<TERM>")
     ).otherwise(F.concat(F.lit("<"), F.upper(x["kind"]), F.lit(">")))
-    clean = s.where("size(_all) > 0").select("_copy", replaced(F.col("_copy"), F.col("_all"), mask).alias("_clean"))
-    packed = docs.select(F.struct("*").alias("r"), F.col(f"`{text_col}`").alias("_copy"))
-    out = packed.join(clean, "_copy", "left")
-    return out.select(
-        *[(F.coalesce(F.col("_clean"), F.col("r")[c]) if c == text_col else F.col("r")[c]).alias(c) for c in docs.columns]
-    )
+    old = F.col("r")[text_col]
+    clean = F.when(F.col("_all").isNull(), old).otherwise(replaced(old, F.col("_all"), mask))
+    return marked.select(*[(clean if c == text_col else F.col("r")[c]).alias(c) for c in docs.columns])

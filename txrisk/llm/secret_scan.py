@@ -1,10 +1,12 @@
 """Secret scans: pattern spans plus sliding-window entropy, in column expressions only.
 
 Base spans are the leftmost non-overlapping matches of three fixed patterns.  The entropy method
-adds candidate strings: maximal runs of a character class, over which a window slides one
-character at a time.  With counts c of the characters in a window of W, its Shannon entropy is
-``log2 W - (sum c log2 c) / W``; a step changes two counts, so the sum is updated by their two
-differences.  Runs named by the allow-list, or already inside a base span, are suppressed.
+adds candidate strings: over each maximal run of a character class a window slides one character at a
+time, and the scan carries the count of every character in it.  With counts c in a window of W, its
+Shannon entropy is ``log2 W - (sum c log2 c) / W``; a step changes two counts, so the sum is updated by
+their two differences.  Windows that reach the class's entropy and hold a digit and a letter are
+suspect; those that overlap a match of the allow-list are suppressed, and those that overlap one
+another make one span.  Runs already inside a base span are left out.
 
 Null or empty texts have no spans (counts 0, digest of the empty string); rows repeat as they are;
 other columns are not read.
@@ -13,6 +15,7 @@ other columns are not read.
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,52 +51,69 @@ CLASSES = (
     CharClass("entropy_base64", "A-Za-z0-9+/_=-", 20, 3.7),
 )
 
-#: Runs that look random but are public: digests, placeholders, alphabets.
-ALLOW = (
-    "(?i)example|placeholder|sha(?:1|256|384|512)[-_=]|"
-    "0123456789|abcdefghij|ABCDEFGHIJ|(.)\\1{9,}|^[A-Za-z/_+=-]+$|^[0-9/_+=-]+$"
-)
+#: What looks random but is public: digests, placeholders, alphabets, one character again and again.
+ALLOW = "(?i)example|placeholder|sha(?:1|256|384|512)[-_=:][A-Za-z0-9+/=]{0,128}|0123456789|abcdefghij|(.)\\1{9,}"
+
+FOUND = "array<struct<first:int,last:int>>"
 
 
 def _clog(c: Column) -> Column:
     return F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
 
 
-def high_entropy(run: Column, cls: CharClass) -> Column:
-    """``struct(s, first, last)``: the 0-based extent, after the last window's sum, of all windows of ``run`` that reach ``cls.bits``.
+def symbols(chars: str) -> tuple[str, int, int]:
+    """(all characters of a class, digits first and then letters; how many digits; how many digits and letters)."""
+    out = sorted({chr(c) for lo, hi in re.findall("(\\w)-(\\w)", chars) for c in range(ord(lo), ord(hi) + 1)} | set(re.sub("\\w-\\w", "", chars)))
+    digits, letters = [c for c in out if c.isdigit()], [c for c in out if c.isalpha()]
+    rest = [c for c in out if not c.isalnum()]
+    return "".join(digits + letters + rest), len(digits), len(digits) + len(letters)
 
-    ``first`` is -1 when no window does.
-    """
-    w = cls.window
-    most = w * (math.log2(w) - cls.bits)
 
-    def scan(chars: Column) -> Column:
-        n = F.size(chars)
+def suspect_windows(run: Column, cls: CharClass, allowed: Column) -> Column:
+    """``[struct(first, last)]``, 0-based and end-exclusive: where windows of ``run`` are suspect.
 
-        def held(j: Column, of: Column) -> Column:
-            """How often ``of`` stands in the window before position ``j`` (0-based), without the character that leaves."""
-            lo = F.greatest(j - w + 1, F.lit(0))
-            return F.when(j <= lo, F.lit(0)).otherwise(
-                F.size(F.filter(F.slice(chars, lo + 1, F.greatest(j - lo, F.lit(1))), lambda x: x == of))
-            )
+    ``allowed``: spans of ``run`` that suppress the windows that they overlap.
+    """
+    w = cls.window
+    most = w * (math.log2(w) - cls.bits) + 1e-9
+    letters, n_digits, n_plain = symbols(cls.chars)
 
+    def scan(codes: Column) -> Column:
         def step(a: Column, j: Column) -> Column:
-            # c characters equal to the leaving one stay behind: its count falls from c + 1 to c.
-            out = F.when(j >= w, let(held(j, chars[F.greatest(j - w, F.lit(0))]), lambda c: _clog(c) - _clog(c + 1))).otherwise(F.lit(0.0))
-            into = let(held(j, chars[j]), lambda c: _clog(c + 1) - _clog(c))
-            return let(
-                a["s"] + out + into,
-                lambda s: F.struct(
-                    s.alias("s"),
-                    F.when((j >= w - 1) & (s <= most + 1e-9) & (a["first"] < 0), j - w + 1).otherwise(a["first"]).alias("first"),
-                    F.when((j >= w - 1) & (s <= most + 1e-9), j + 1).otherwise(a["last"]).alias("last"),
-                ),
-            )
-
-        start = F.struct(F.lit(0.0).alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
-        return F.aggregate(F.sequence(F.lit(0), n - 1), start, step)
-
-    return let(F.split(run, ""), lambda c: scan(F.filter(c, lambda x: x != "")))
+            into, out = F.get(codes, j), F.coalesce(F.get(codes, j - w), F.lit(-1))
+
+            def moved(into: Column, out: Column) -> Column:
+                left = F.coalesce(F.get(a["counts"], out), F.lit(0))
+                here = F.get(a["counts"], into) - (into == out).cast("int")
+                s = a["s"] + _clog(left - 1) - _clog(left) + _clog(here + 1) - _clog(here)
+                digits = a["digits"] + (into < n_digits).cast("int") - out.between(0, n_digits - 1).cast("int")
+                plain = a["plain"] + (into < n_plain).cast("int") - out.between(0, n_plain - 1).cast("int")
+                counts = F.transform(a["counts"], lambda c, k: c + (k == into).cast("int") - (k == out).cast("int"))
+                return F.struct(counts.alias("counts"), s.alias("s"), digits.alias("digits"), plain.alias("plain"))
+
+            def judged(m: Column) -> Column:
+                first, last = j - w + 1, j + 1
+                suspect = (first >= 0) & (m["s"] <= most) & (m["digits"] > 0) & (m["plain"] > m["digits"])
+                suspect &= ~F.exists(allowed, lambda x: (x["start"] < last) & (x["end"] > first))
+                span = lambda lo: F.array(F.struct(lo.alias("first"), last.alias("last")))
+                before = F.get(a["found"], F.size(a["found"]) - 1)
+                found = (
+                    F.when(~suspect, a["found"])
+                    .when(before["last"] >= first, F.concat(F.slice(a["found"], 1, F.size(a["found"]) - 1), span(before["first"])))
+                    .otherwise(F.concat(a["found"], span(first)))
+                )
+                return F.struct(m["counts"].alias("counts"), m["s"].alias("s"), m["digits"].alias("digits"), m["plain"].alias("plain"), found.alias("found"))
+
+            return let(let(into, lambda x: let(out, lambda y: moved(x, y))), judged)
+
+        start = F.struct(
+            F.array_repeat(F.lit(0), len(letters)).alias("counts"), F.lit(0.0).alias("s"), F.lit(0).alias("digits"), F.lit(0).alias("plain"),
+            F.from_json(F.lit("[]"), FOUND).alias("found"),
+        )
+        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), start, step, lambda a: a["found"])
+
+    chars = F.filter(F.split(run, ""), lambda x: x != "")
+    return let(F.transform(chars, lambda c: F.instr(F.lit(letters), c) - 1), scan)
 
 
 def base_spans(text: Column) -> Column:
@@ -113,23 +133,23 @@ def entropy_spans(text: Column, base: Column, classes=CLASSES, allow: str = ALLO
     """High-entropy runs that neither the allow-list nor a base span covers."""
 
     def suspects(k: int, cls: CharClass) -> Column:
-        runs = match_spans(
-            text, f"(?<![{cls.chars}])[{cls.chars}]{{{cls.window},}}", cls.kind, len(BASE_KINDS) + k, lambda m: ~F.regexp_like(m, F.lit(allow))
-        )
-        fit = F.transform(
-            F.filter(runs, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"]))),
-            lambda s: let(
-                high_entropy(s["m"], cls),
+        runs = match_spans(text, f"(?<![{cls.chars}])[{cls.chars}]{{{cls.window},}}", cls.kind, len(BASE_KINDS) + k)
+
+        def spans(s: Column) -> Column:
+            named = F.when(F.regexp_like(s["m"], F.lit(allow)), match_spans(s["m"], allow, "allow", 0)).otherwise(no_spans())
+            return F.transform(
+                let(named, lambda a: suspect_windows(s["m"], cls, a)),
                 lambda e: F.struct(
                     (s["start"] + e["first"]).alias("start"),
                     s["rank"].alias("rank"),
                     (s["start"] + e["last"]).alias("end"),
                     s["kind"].alias("kind"),
-                    F.when(e["first"] >= 0, F.substring(s["m"], e["first"] + 1, e["last"] - e["first"])).alias("m"),
+                    F.substring(s["m"], e["first"] + 1, e["last"] - e["first"]).alias("m"),
                 ),
-            ),
-        )
-        return F.filter(fit, lambda s: s["m"].isNotNull())
+            )
+
+        fit = F.filter(runs, lambda s: ~F.exists(base, lambda b: (b["start"] <= s["start"]) & (b["end"] >= s["end"])))
+        return F.flatten(F.transform(fit, spans))
 
     found = [suspects(k, cls) for k, cls in enumerate(classes)]
     return in_order(F.concat(*found))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import KEY, discard, keyed, slices, stash, whole
-from .graph import anchored_links, components
+from .graph import EDGES_EACH, anchored_links, components
 
 ROWS_AT_A_TIME = 1 << 15
 
@@ -294,8 +294,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     def verify(edges: DataFrame) -> DataFrame:
         """The links among the pairs (a, b)."""
         edges = stash(edges)
-        ids = stash(edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct())
-        ids = stash(members.select(*KEY, "id").join(ids, "id", "left_semi"))
+        tasks = 1 + edges.count() // EDGES_EACH
+        ids = edges.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = stash(members.select(*KEY, "id").join(ids, "id", "left_semi").coalesce(tasks))
 
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in slices(batches):
@@ -329,56 +330,69 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     at_home = pos < n - F.ceil(F.lit(similarity / (1 + similarity)) * 2 * n - 1e-9) + 1
     # Most shingles stand in one text; a text has one record at an anchor, so no anchor holds a large part of them.
     anchor = Window.partitionBy("anchor")
-    met = found.withColumns({"_met": F.count("*").over(anchor), "leader": F.min(F.when(at_home, F.struct("id", "place"))).over(anchor)})
-    met = met.where("_met > 1 and leader is not null").select("anchor", "id", n.alias("n"), pos.alias("pos"), at_home.alias("home"), "leader")
-    met = stash(met.select("anchor", "id", "n", "pos", "home", F.col("leader.id").alias("leader"), F.shiftright("leader.place", 32).alias("leader_n"), F.col("leader.place").bitwiseAND(F.lit((1 << 32) - 1)).alias("leader_pos")))
+    # The leader of an anchor is the member with the fewest rarer shingles for its size: an original rather than one of
+    # its copies, which are nearer to it than to one another.
+    head = F.struct((pos / n).alias("rarer"), "id", n.alias("n"), pos.alias("pos"))
+    met = found.withColumns({"met": F.count("*").over(anchor), "lead": F.min(F.when(at_home, head)).over(anchor)})
+    met = met.where("met > 1 and lead is not null")
+    rows = stash(met.select("anchor", "id", n.alias("n"), pos.alias("pos"), at_home.alias("home"), "lead", F.col("lead.id").alias("leader")))
 
     def close(n: Column, pos: Column, m: Column, at: Column) -> Column:
         # Enough shingles must be left from here on: that holds at the first one that a true pair has in common.
         need = F.lit(similarity / (1 + similarity)) * (n + m) - 1e-9
         return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (F.least(n - pos, m - at) >= need)
 
-    def labelled(known: DataFrame) -> DataFrame:
+    def apart(known: DataFrame) -> DataFrame:
+        """``rows`` with the component of each member, and of its anchor's leader as ``chief``."""
         label = known.withColumnRenamed("component", "label")
         chief = label.select(F.col("id").alias("leader"), F.col("label").alias("chief"))
-        out = met.join(label, "id", "left").join(chief, "leader", "left")
+        out = rows.join(label, "id", "left").join(chief, "leader", "left")
         return out.withColumns({"label": F.coalesce("label", "id"), "chief": F.coalesce("chief", "leader")})
 
-    # Each member is compared with the leader that it shares most anchors with, unless they are linked already.
-    tried = (
-        labelled(known)
-        .where((F.col("label") != F.col("chief")) & close(F.col("n"), F.col("pos"), F.col("leader_n"), F.col("leader_pos")))
-        .groupBy("id", "leader")
-        .agg(F.count("*").alias("k"))
-        .groupBy(F.col("id").alias("a"))
-        .agg(F.max_by("leader", F.struct("k", -F.col("leader"))).alias("b"))
-    )
-    tried = stash(tried)
+    # Each member that is not linked with its anchors' leaders is compared with the one that it shares most anchors with.
+    some = apart(known).where("label <> chief").where(close(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
+    best = some.groupBy("id", "leader").agg(F.count("*").alias("k")).groupBy(F.col("id").alias("a"))
+    tried = stash(best.agg(F.max_by("leader", F.struct("k", -F.col("leader"))).alias("b")))
     led = verify(tried)
-    before, known = known, components(closest.union(led))
-    discard(before)
+    discard(known)
+    known = components(closest.union(led))
+
+    # Where members are still apart, all of the anchor come into question.  These few get the best order: by the
+    # number of them that hold a shingle.  A shingle that only one holds meets nothing but counts as a place.
+    now = apart(known).withColumn("some", F.max(F.col("label") != F.col("chief")).over(anchor)).where("some")
+    asked = stash(now.select("id", "n", "label").distinct())
+    n_asked = asked.count()
 
-    # Then the members that are still apart from a leader are compared with all others at its anchor.
-    rows = labelled(known).select("anchor", "id", "n", "pos", "home", "label", "chief")
-    rows = stash(rows.join(tried.select(F.col("a").alias("id"), F.col("b").alias("tried")), "id", "left"))
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            own = [np.unique(shingle_hashes((t or "").encode(), size)) for t in b.column("text").to_pylist()]
+            ids = np.repeat(b.column("id").to_numpy(), [len(x) for x in own])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).astype("<u8").view(np.int64)), pa.array(ids)], ["anchor", "id"])
+
+    shown = texts_of(members.join(asked, "id", "left_semi").select(*KEY, "id"), n_asked).mapInArrow(every, "anchor bigint, id bigint")
+    shown = shown.withColumn("df", F.count("*").over(anchor)).where("df > 1")
+    of_id = Window.partitionBy("id")
+    shown = shown.withColumns({"shared": F.count("*").over(of_id), "turn": F.row_number().over(of_id.orderBy("df", "anchor"))}).join(asked, "id")
+    place = F.col("n") - F.col("shared") + F.col("turn") - 1
+    first = place < F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1
+    home = place < F.col("n") - F.ceil(F.lit(similarity / (1 + similarity)) * 2 * F.col("n") - 1e-9) + 1
+    fine = stash(shown.where(first).select("anchor", "id", "n", place.alias("pos"), home.alias("home"), "label"))
     here, there = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-    apart = rows.where("label <> chief")
     rest = (
-        apart.alias("l")
+        fine.alias("l")
         .join(
-            rows.alias("r"),
+            fine.alias("r"),
             (here("anchor") == there("anchor"))
+            & (here("id") < there("id"))
             & (here("label") != there("label"))
             & (here("home") | there("home"))
-            & ~here("tried").eqNullSafe(there("id"))
-            & ~there("tried").eqNullSafe(here("id"))
             & close(here("n"), here("pos"), there("n"), there("pos")),
         )
-        .select(F.least(here("id"), there("id")).alias("a"), F.greatest(here("id"), there("id")).alias("b"))
+        .select(here("id").alias("a"), there("id").alias("b"))
         .distinct()
     )
-    more = verify(rest)
-    discard(met, rows, tried, known)
+    more = verify(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
+    discard(rows, tried, known, asked, fine)
     linked = components(closest.union(led).union(more))
     discard(closest, led, more)
 

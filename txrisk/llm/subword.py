@@ -1,7 +1,8 @@
 """A quality classifier of supervised subword embeddings.
 
-Each word gives hashed features: the word itself, its character n-grams, and (as a word bigram with
-the word left open) whether it repeats the word before it.  Their learned vectors are averaged over
+Each word gives hashed features: the word itself, its character n-grams, and two bigrams with the word
+before it, one of the words and one of their pattern (equal or not), as n-grams over a text whose words
+are left open.  All weigh the same; their learned vectors are averaged over
 the whole text and a softmax over two classes follows; numpy stochastic gradient descent trains both.
 
 After training, a feature matters only through its vector's product with the output weights, so a
@@ -12,7 +13,8 @@ Training uses a bounded sample: ``SAMPLE`` labelled documents of each class with
 their id, outside the held-out fold.  Texts of one id that repeats count once; several labels of one
 id are averaged.  Without labels of both classes every score is the share of label 1 (one half if
 there is none).  Null and empty texts score by the bias alone; ids, sources and languages are never
-inputs.
+inputs.  Texts are read in pieces of ``PIECE`` bytes, cut between words, so memory does not grow with them; a
+word longer than a piece counts as several.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ BUCKETS = 1 << 17
 NGRAMS = (3, 4)
 SAMPLE = 600
 FOLDS = 5
-#: Feature number of "this word repeats the one before".
-REPEAT = 0
+#: Bytes of text that are held as arrays at a time.
+PIECE = 1 << 16
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -49,8 +51,9 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 _power_tables: tuple = (np.zeros(0, np.uint64),) * 2
+WHITE = (9, 10, 11, 12, 13, 32)
 SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+SPACE[list(WHITE)] = True
 
 
 def _bucket(h: np.ndarray) -> np.ndarray:
@@ -58,8 +61,25 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return 1 + (((h ^ (h >> np.uint64(29))) * MIX) >> np.uint64(34)).astype(np.int64) % (BUCKETS - 1)
 
 
-def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first place of each text, place of each feature, its number, repeats by place) over joined texts.
+def pieces(text: bytes) -> Iterator[tuple[bytes, int]]:
+    """(piece, bytes of the word before it that it begins with) of a text, cut between words."""
+    lo, before = 0, b""
+    while True:
+        hi = len(text)
+        if hi - lo > PIECE:
+            hi = lo + PIECE
+            cut = max(text.rfind(bytes([c]), lo, hi) for c in WHITE)
+            hi = cut if cut > lo else hi
+        part = text[lo:hi]
+        yield (before + b" " + part, len(before)) if before else (part, 0)
+        lo = hi
+        if lo >= len(text):
+            return
+        before = (part.rsplit(None, 1) or [before])[-1]
+
+
+def features(texts: list[bytes], skips: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text of each feature, its number); the first ``skips`` bytes of a text are only the word before.
 
     Words are runs without white space.  A character n-gram lies inside a word with one space on
     either side, so none spans two words or two texts.
@@ -87,24 +107,24 @@ def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     words = (total[hi] - total[lo]) * inverse[lo] + (hi - lo).astype(np.uint64)
     places.append(lo)
     numbers.append(_bucket(words * np.uint64(31)))
-    again = np.zeros(len(c), bool)
-    if len(lo):
-        same = np.concatenate([[False], words[1:] == words[:-1]])
-        text_of = np.searchsorted(starts, lo - 1, side="right")
-        same[1:] &= text_of[1:] == text_of[:-1]
-        again[lo[same]] = True
-    return starts, np.concatenate(places), np.concatenate(numbers), again
-
-
-#: A repeated word weighs as much as so many n-grams.
-REPEAT_WEIGHT = 8
+    text_of = np.searchsorted(starts, lo - 1, side="right")
+    two = np.flatnonzero(text_of[1:] == text_of[:-1]) + 1
+    for h in (words[two] * np.uint64(37) + words[two - 1] * np.uint64(41), (words[two] == words[two - 1]).astype(np.uint64) + np.uint64(43)):
+        places.append(lo[two])
+        numbers.append(_bucket(h))
+    places, numbers = np.concatenate(places), np.concatenate(numbers)
+    own = np.searchsorted(starts, places, side="right") - 1
+    if skips is not None and any(skips):
+        keep = places >= starts[own] + np.where(np.array(skips) > 0, np.array(skips) + 1, 0)[own]
+        own, numbers = own[keep], numbers[keep]
+    return own, numbers
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers of a whole text and their shares."""
-    _, _, numbers, again = features([text.encode()])
-    dense = np.bincount(numbers, minlength=BUCKETS).astype(float)
-    dense[REPEAT] = REPEAT_WEIGHT * again.sum()
+    dense = np.zeros(BUCKETS)
+    for part, skip in pieces(text.encode()):
+        dense += np.bincount(features([part], [skip])[1], minlength=BUCKETS)
     at = np.flatnonzero(dense)
     return at.astype(np.int32), (dense[at] / max(1.0, dense.sum())).astype(np.float32)
 
@@ -153,30 +173,31 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int = 8
     return Model(vec @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]))
 
 
-#: Texts are scored together up to so many bytes.
-CHUNK = 1 << 16
-
-
-def score_texts(texts: list[bytes], table: np.ndarray, bias: float) -> np.ndarray:
+def score_texts(texts: Iterable[bytes], table: np.ndarray, bias: float) -> np.ndarray:
     """Scores of whole texts."""
-    starts, places, numbers, again = features(texts)
-    n = sum(map(len, texts)) + len(texts) + 1
-    value = np.bincount(places, table[numbers], n) + (REPEAT_WEIGHT * table[REPEAT]) * again
-    count = np.bincount(places, minlength=n) + REPEAT_WEIGHT * again
-    mean = np.add.reduceat(value, starts) / np.maximum(1, np.add.reduceat(count, starts))
-    return 1 / (1 + np.exp(-np.clip(mean + bias, -500, 500)))
-
-
-def chunks(texts: Iterable[bytes]) -> Iterator[list[bytes]]:
-    held, size = [], 0
-    for t in texts:
-        held.append(t)
-        size += len(t)
-        if size >= CHUNK:
-            yield held
-            held, size = [], 0
+    value, count, held, size = [], [], [], 0
+
+    def add() -> None:
+        of, numbers = features([p for _, p, _ in held], [k for _, _, k in held])
+        own = np.array([i for i, _, _ in held])[of]
+        first = held[0][0]
+        for out, more in ((value, np.bincount(own - first, table[numbers], len(value) - first)), (count, np.bincount(own - first, minlength=len(value) - first))):
+            for k, x in enumerate(more):
+                out[first + k] += x
+
+    for i, t in enumerate(texts):
+        value.append(0.0)
+        count.append(0)
+        for part, skip in pieces(t):
+            held.append((i, part, skip))
+            size += len(part)
+            if size >= PIECE:
+                add()
+                held, size = [], 0
     if held:
-        yield held
+        add()
+    mean = np.array(value) / np.maximum(1, np.array(count, np.int64))
+    return 1 / (1 + np.exp(-np.clip(mean + bias, -500, 500)))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -230,8 +251,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", score_col: str
     def score(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table, bias = shared.value
         for t in texts:
-            out = [score_texts(c, table, bias) for c in chunks((x.as_py() or "").encode() for x in t)]
-            yield pa.array(np.concatenate(out) if out else np.zeros(0))
+            yield pa.array(score_texts(((x.as_py() or "").encode() for x in t), table, bias))
 
     return docs.withColumn(score_col, score(F.col(f"`{text_col}`")))
 

@@ -2,7 +2,9 @@
 
 The rules label the URLs that they fit; trees learn those labels from the URL alone (length, depth,
 digit ratio, entropy, parameter counts and suffix statistics) and judge the URLs that no rule fits.
-Trees are trained on at most ``SAMPLE`` distinct labelled URLs, chosen by hash.
+Trees are trained on at most ``SAMPLE`` distinct labelled URLs, chosen by hash, of which the driver gets
+lexical features and hashes of the suffixes and the first folder, whatever the URLs' lengths.  Suffix
+statistics of a training URL come from the other folds, so that no URL's own label is among its features.
 
 A null URL or one without ``://`` has an empty host and path, and no rule; the trees judge it like any
 other.  Without labelled URLs of both verdicts every URL gets the only verdict seen, or ``allow``.
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -80,10 +83,44 @@ def suffixes(host: str) -> tuple[str, str]:
     return labels[-1], ".".join(labels[-2:])
 
 
-FEATURES = (
+LEXICAL = (
     "length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy",
-    "params", "query_length", "fragment", "hyphens", "https", "longest_label", "first_folder", "suffix_rate", "suffix2_rate",
+    "params", "query_length", "fragment", "hyphens", "https", "longest_label",
 )
+#: What statistics of labels are kept for: the last label of the host, its last two, and the first folder.
+KEYS = ("suffix", "suffix2", "folder")
+FOLDS = 5
+
+
+def lexical(url: str, host: str, path: str) -> list[float]:
+    n = max(1, len(url))
+    query = url.partition("?")[2].partition("#")[0]
+    return [
+        len(url), len(host), len(path), path.count("/"), host.count(".") + 1, sum(map(str.isdigit, url)) / n,
+        sum(map(str.isdigit, host)) / max(1, len(host)), entropy(url), entropy(host), query.count("&") + bool(query), len(query),
+        "#" in url, host.count("-") + path.count("-"), url.startswith("https"), max(map(len, host.split("."))),
+    ]
+
+
+def keys(host: str, path: str) -> list[int]:
+    """Hashes of what statistics are kept for."""
+    from xxhash import xxh64_intdigest
+
+    folder = path.split("/", 2)[1] if path.count("/") > 1 else ""
+    return [xxh64_intdigest(f"{k}:{v}".encode()) for k, v in zip(KEYS, (*suffixes(host), folder))]
+
+
+def described(urls: list[tuple[str, str, str]]) -> tuple[np.ndarray, np.ndarray]:
+    """(lexical features, keys), one row per URL."""
+    x = np.array([lexical(*u) for u in urls], float).reshape(-1, len(LEXICAL))
+    return x, np.array([keys(h, p) for _, h, p in urls], np.uint64).reshape(-1, len(KEYS))
+
+
+def rates_of(k: np.ndarray, y: np.ndarray, prior: float, weight: float = 20.0) -> dict[int, float]:
+    """Smoothed share of blocked URLs by key."""
+    own, at = np.unique(k, return_inverse=True)
+    n, hit = np.bincount(at.ravel(), minlength=len(own)), np.bincount(at.ravel(), np.repeat(y, k.shape[1]), len(own))
+    return dict(zip(own.tolist(), ((hit + weight * prior) / (n + weight)).tolist()))
 
 
 @dataclass
@@ -91,23 +128,13 @@ class Trees:
     """Boosted regression trees on binned features, with the suffix statistics they use."""
 
     prior: float = 0.0
-    rates: dict[str, float] = field(default_factory=dict)
-    folders: dict[str, float] = field(default_factory=dict)
+    rates: dict[int, float] = field(default_factory=dict)
     edges: list[np.ndarray] = field(default_factory=list)
     trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
-    def lexical(self, url: str, host: str, path: str) -> list[float]:
-        n = max(1, len(url))
-        query = url.partition("?")[2].partition("#")[0]
-        last, last2 = suffixes(host)
-        folder = path.split("/")[1] if path.count("/") > 1 else ""
-        middle = 1 / (1 + math.exp(-self.prior))
-        return [
-            len(url), len(host), len(path), path.count("/"), host.count(".") + 1, sum(map(str.isdigit, url)) / n,
-            sum(map(str.isdigit, host)) / max(1, len(host)), entropy(url), entropy(host), query.count("&") + bool(query), len(query),
-            "#" in url, host.count("-") + path.count("-"), url.startswith("https"), max(map(len, host.split("."))),
-            self.folders.get(folder, middle), self.rates.get(last, middle), self.rates.get(last2, middle),
-        ]
+    def features(self, x: np.ndarray, k: np.ndarray, rates: dict[int, float] | None = None) -> np.ndarray:
+        middle, rates = 1 / (1 + math.exp(-self.prior)), self.rates if rates is None else rates
+        return np.column_stack([x, np.array([[rates.get(v, middle) for v in row] for row in k.tolist()], float).reshape(k.shape)])
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         bins = np.stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(self.edges)], 1) if self.edges else x
@@ -125,24 +152,19 @@ def _leaves(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray) -> np.ndarra
     return node - len(feature)
 
 
-def _rates(keys: list[str], y: np.ndarray, prior: float, weight: float = 20.0) -> dict[str, float]:
-    """Smoothed share of blocked URLs by key."""
-    n, hit = Counter(keys), Counter(k for k, v in zip(keys, y) if v)
-    return {k: (hit[k] + weight * prior) / (n[k] + weight) for k in n}
-
-
-def train(urls: list[tuple[str, str, str]], y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32) -> Trees:
-    """Second-order boosting of the logistic loss; ``y`` is 1 for blocked URLs."""
+def train(x: np.ndarray, k: np.ndarray, y: np.ndarray, rounds: int = 40, depth: int = 3, rate: float = 0.2, bins: int = 32) -> Trees:
+    """Second-order boosting of the logistic loss; ``y`` is 1 for blocked URLs, ``x`` and ``k`` as in ``described``."""
     p = (y.sum() + 1) / (len(y) + 2) if len(y) else 0.0
     model = Trees(prior=math.log(p / (1 - p)) if 0 < p < 1 else -20.0)
     if len(y) == 0 or y.min() == y.max():
         model.prior = 20.0 if len(y) and y[0] else -20.0
         return model
-    ends = [suffixes(h) for _, h, _ in urls]
-    model.rates = _rates([e[0] for e in ends], y, p) | _rates([e[1] for e in ends if e[1] != e[0]], y[[e[1] != e[0] for e in ends]], p)
-    model.folders = _rates([q.split("/")[1] if q.count("/") > 1 else "" for _, _, q in urls], y, p)
-    model.folders = {k: v for k, v in sorted(model.folders.items(), key=lambda kv: -abs(kv[1] - p))[:1000]}
-    x = np.array([model.lexical(*u) for u in urls], float)
+    model.rates = rates_of(k, y, p)
+    fold = np.random.default_rng(13).permutation(len(y)) % FOLDS
+    parts = [model.features(x[fold == f], k[fold == f], rates_of(k[fold != f], y[fold != f], p)) for f in range(FOLDS)]
+    x = np.empty((len(y), x.shape[1] + k.shape[1]))
+    for f, part in enumerate(parts):
+        x[fold == f] = part
     model.edges = [np.unique(np.quantile(x[:, k], np.linspace(0, 1, bins + 1)[1:-1])) for k in range(x.shape[1])]
     b = np.stack([np.searchsorted(e, x[:, k], side="left") for k, e in enumerate(model.edges)], 1)
     score = np.full(len(y), model.prior)
@@ -181,10 +203,23 @@ def parsed(pages: DataFrame, rules=RULES) -> DataFrame:
     return p.select("page_id", "url", "p.host", "p.path", rule_of(F.col("p.host"), F.col("p.path"), rules).alias("r"))
 
 
-def labelled_sample(p: DataFrame, n: int = SAMPLE) -> tuple[list[tuple[str, str, str]], np.ndarray]:
-    known = p.where("r is not null").select("url", "host", "path", "r.verdict").distinct()
-    rows = known.orderBy(F.xxhash64("url"), "url").limit(n).collect()
-    return [(r["url"], r["host"], r["path"]) for r in rows], np.array([r["verdict"] == "block" for r in rows], float)
+def labelled_sample(p: DataFrame, n: int = SAMPLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lexical features, keys, labels) of at most ``n`` distinct URLs that a rule fits, those with the smallest hashes."""
+    known = p.where("r is not null").select(F.xxhash64("url").alias("h"), "url", "host", "path", (F.col("r.verdict") == "block").alias("y"))
+    last = known.select("h").distinct().orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    columns = [f"x{i}" for i in range(len(LEXICAL))] + [f"k{i}" for i in range(len(KEYS))]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x, k = described(list(zip(b["url"], b["host"], b["path"])))
+            cols = [*x.T, *k.view(np.int64).T]
+            yield pd.DataFrame({"h": b["h"].to_numpy(), "y": b["y"].to_numpy(), **dict(zip(columns, cols))})
+
+    if last is None:
+        return np.zeros((0, len(LEXICAL))), np.zeros((0, len(KEYS)), np.uint64), np.zeros(0)
+    schema = "h bigint, y boolean, " + ", ".join(f"{c} {'double' if c[0] == 'x' else 'bigint'}" for c in columns)
+    rows = known.where(F.col("h") <= last).mapInPandas(run, schema).dropDuplicates(["h"]).toPandas().sort_values("h")
+    return rows[columns[: len(LEXICAL)]].to_numpy(float), rows[columns[len(LEXICAL) :]].to_numpy(np.int64).view(np.uint64), rows["y"].to_numpy(float)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -196,8 +231,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     def blocked(url: pd.Series, host: pd.Series, path: pd.Series) -> pd.Series:
         if not len(url):
             return pd.Series([], dtype=float)
-        x = np.array([model.lexical(*u) for u in zip(url, host, path)], float)
-        return pd.Series(1 / (1 + np.exp(-model.raw(x))))
+        return pd.Series(1 / (1 + np.exp(-model.raw(model.features(*described(list(zip(url, host, path))))))))
 
     s = p.withColumn("score", blocked("url", "host", "path"))
     own = F.when(F.col("score") >= 0.5, F.lit("block")).otherwise(F.lit("allow"))
