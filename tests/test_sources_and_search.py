@@ -8,13 +8,15 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from txrisk import build_index, storage
 from txrisk.errors import DecodeError, ReadError
-from txrisk.operators import ivf, knn, telemetry
-from txrisk.operators.models import Logistic
+from txrisk.operators import ivf, knn, models, telemetry
+from txrisk.operators.models import Ensemble, Logistic, Node
 from txrisk.plans import scoring
 from txrisk.schema import Normalization, SearchConfig
 from txrisk.sources import resources
 from txrisk.sources.resources import INTS
+from txrisk.streaming import scoring as stream
 
 
 def refs_of(spark, rows):
@@ -130,9 +132,112 @@ def test_forms_agree_across_blocks(spark, monkeypatch):
     assert a == b
 
 
-def test_sampled_centroids_span_all_ids(spark):
+def test_blocks_of_queries_and_references_agree_with_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(knn, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(knn, "BLOCKS_HELD", 2)
+    monkeypatch.setattr(knn, "DISTANCES", 300)
+    rng = np.random.default_rng(11)
+    x = rng.integers(-9, 9, (150, 14))  # many ties
+    refs = spark.createDataFrame([(i, *map(int, v), bool(i % 3)) for i, v in enumerate(x)], "ref_id bigint, " + ", ".join(f"{q} int" for q in INTS) + ", is_fraud boolean").repartition(5)
+    q = refs.where("ref_id % 2 = 0").select(F.col("ref_id").alias("qid"), *INTS)
+    got = {}
+    for r in knn.exact_knn(q, refs, INTS, 5, same_ids=True).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["dist"], r["ref_id"], r["is_fraud"]))
+    assert len(got) == 75
+    for i, found in got.items():
+        want = sorted((int(((x[i] - x[j]) ** 2).sum()), j) for j in range(150) if j != i)[:5]
+        assert sorted(found) == [(n + 1, d, j, bool(j % 3)) for n, (d, j) in enumerate(want)]
+
+
+def test_single_precision_search(spark):
+    rng = np.random.default_rng(12)
+    x = rng.random((80, 14)).astype(np.float32)
+    names = [f"v{d}" for d in range(14)]
+    refs = spark.createDataFrame([(i, *map(float, v), bool(i % 3)) for i, v in enumerate(x)], "ref_id bigint, " + ", ".join(f"{c} float" for c in names) + ", is_fraud boolean")
+    q = refs.where("ref_id < 20").select(F.col("ref_id").alias("qid"), *names)
+    for r in knn.float_knn(q, refs, names, 3, same_ids=True).collect():
+        total = np.float32(0)
+        for d in range(14):
+            gap = x[r["qid"], d] - x[r["ref_id"], d]
+            total = np.float32(total + gap * gap)
+        assert r["dist"] == total
+        exact = np.sort(((x[r["qid"]].astype(float) - x.astype(float)) ** 2).sum(1))
+        assert r["dist"] == pytest.approx(exact[r["rank"]], rel=1e-5)
+
+
+def test_sampled_centroids_span_all_ids(spark, monkeypatch):
     refs = spark.range(10_000).select(F.col("id").alias("ref_id"), F.col("id").cast("int").alias("q0"))
-    assert ivf.sampled_centroids(refs, ["q0"], 2)[:, 0].tolist() == list(range(1, 10_000, 2))
+    got = ivf.sampled_centroids(refs, ["q0"], 20)[:, 0]
+    assert len(got) == 500 and (np.diff(got) > 0).all() and np.histogram(got, 10, (0, 10_000))[0].min() > 20
+    monkeypatch.setattr(ivf, "MAX_CLUSTERS", 100)
+    few = ivf.sampled_centroids(refs, ["q0"], 20)[:, 0]
+    assert len(few) == 100 and set(few) <= set(got) and few.max() > 9_000
+
+
+def test_hot_clusters_go_in_parts(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    refs = refs_of(spark, [(i, int(v), bool(i % 2)) for i, v in enumerate(rng.integers(0, 60, 200))])
+    q = queries_of(spark, [(i, int(v)) for i, v in enumerate(rng.integers(0, 60, 40))])
+    x = ivf.build(refs, np.zeros((1, 14)), INTS)
+    want = sorted(map(tuple, ivf.two_tier(q, x).collect()))
+    cols = ["qid", "rank", "pos", "dist"]
+    p = ivf.probes(q, x, 1)
+    first = sorted(ivf.top(ivf.scan(p, x)).select(cols).collect())
+    monkeypatch.setattr(ivf, "PART", 7)
+    assert sorted(ivf.top(ivf.scan(p, x)).select(cols).collect()) == first
+    assert sorted(map(tuple, ivf.two_tier(q, x).collect())) == want
+
+
+def test_index_build_command(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    rows = [{"vector": [round(float(v), 4) for v in rng.random(14)], "label": "fraud" if i % 4 == 0 else "legit"} for i in range(300)]
+    (tmp_path / "references.json.gz").write_bytes(gzip.compress(json.dumps(rows).encode()))
+    build_index.main(["--resources", str(tmp_path), "--nlist", "12", "--iterations", "3"])
+    binary = resources.import_index(spark, str(tmp_path / "ivf.bin"))
+    native = ivf.Index.load(spark, str(tmp_path / "index"))
+    assert binary.nlist == native.nlist == 12 and binary.members.count() == native.members.count() == 300
+    assert np.allclose(binary.centroids, native.centroids, atol=0.01)
+    cols = ["ci", "pos", *INTS, "is_fraud"]
+    assert sorted(binary.members.select(cols).collect()) == sorted(native.members.select(cols).collect())
+    # Final lists, so every member is nearest to its own centroid.
+    for r in native.members.collect():
+        d = ((native.centroids - np.array([r[c] for c in INTS])) ** 2).sum(1)
+        assert d[r["ci"]] <= d.min() + 1e-6
+    (tmp_path / "normalization.json").write_text(json.dumps(vars(Normalization())))
+    (tmp_path / "mcc_risk.json").write_text(json.dumps({"5411": 0.1}))
+    assert resources.load_default(spark, str(tmp_path)).kind == "ivf"
+
+
+def test_lloyd(spark):
+    refs = refs_of(spark, [(1, 0, False), (2, 1000, False), (3, 5000, True), (4, 7000, True)])
+    start = np.zeros((3, 14))
+    start[:, 0] = 0, 7000, -(10**6)
+    assert ivf.lloyd(refs, start, INTS, 5)[:, 0].tolist() == [500, 6000, -(10**6)]
+
+
+def test_large_ensembles_are_walked_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    trees = tuple((Node(int(rng.integers(14)), float(np.float32(rng.random())), 1, 2), Node(-1, 0, value=float(np.float32(0.02 * rng.normal()))), Node(-1, 0, value=float(np.float32(0.02 * rng.normal())))) for _ in range(40))
+    names = [f"v{d}" for d in range(14)]
+    x = spark.createDataFrame([tuple(map(float, v)) for v in rng.random((50, 14))], ", ".join(f"{c} float" for c in names))
+    for sigmoid in (True, False):
+        m = Ensemble(trees, 0.5, sigmoid)
+        a = [r[0] for r in x.select(models.ensemble_score(m, [F.col(c) for c in names])).collect()]
+        monkeypatch.setattr(models, "MOST_CONDITIONS", 10)
+        b = [r[0] for r in x.select(models.ensemble_score(m, [F.col(c) for c in names])).collect()]
+        monkeypatch.undo()
+        assert a == b and len(set(a)) > 5
+
+
+def test_logistic_predictor(spark, tmp_path):
+    m = Logistic(tuple(np.linspace(-1, 1, 119)), 0.5)
+    path = str(tmp_path / "logreg.bin")
+    assert not resources.exists(spark, path)
+    resources.save_logistic(spark, m, path)
+    p = resources.predictor(spark, path)
+    x = [F.lit(0.1 * d) for d in range(14)]
+    a, b, c = spark.range(1).select(p.predict(x), models.logistic_score(m, x), models.Predictor().predict(x)).first()
+    assert resources.exists(spark, path) and a == b and c == 0 and p.count() == p.fraud_count() == 0
 
 
 def test_all_probes_equal_exact(spark):
@@ -149,7 +254,7 @@ def test_box_bound_is_lossless(spark):
     refs = refs_of(spark, [(i, int(v), False) for i, v in enumerate(rng.integers(0, 5000, 200))])
     x = ivf.build(refs, ivf.sampled_centroids(refs, INTS, 20), INTS)
     p = ivf.probes(queries_of(spark, [(1, 800), (2, 4000)]), x, x.nlist)
-    least = ivf.scan(p, x).groupBy("qid", "probe").agg(F.min("dist").alias("d"))
+    least = ivf.scan(p, x, 1).groupBy("qid", "probe").agg(F.min("dist").alias("d"))
     assert ivf.box_bound(p, x).join(least, ["qid", "probe"]).where("bound > d").count() == 0
 
 
@@ -157,8 +262,8 @@ def test_kmeans_update(spark):
     refs = refs_of(spark, [(1, 0, False), (2, 2500, False), (3, 5000, True), (4, 7500, True)])
     centroids = np.zeros((3, 14))
     centroids[1, 0], centroids[2, 0] = 7000, -10**6
-    u = {r["ci"]: (r["n"], r["sum_q0"]) for r in ivf.updated(ivf.assign(refs, centroids, INTS), INTS).collect()}
-    assert u == {0: (2, 2500), 1: (2, 12500)}
+    u = {r["ci"]: (r["n"], r["q0"]) for r in ivf.updated(ivf.assign(refs, centroids, INTS), centroids, INTS).collect()}
+    assert u == {0: (2, 1250), 1: (2, 6250), 2: (0, -(10**6))}
 
 
 def test_histogram_and_ring(spark):
@@ -169,7 +274,51 @@ def test_histogram_and_ring(spark):
     h = {r["bucket_us"]: r["n"] for r in telemetry.histogram(log).collect()}
     assert sum(h.values()) == 300 and h[250] == 10 and -1 in h
     o = telemetry.outliers(log).collect()
-    assert len(o) == 64 and all(not r["parse_error"] for r in o)
+    assert len(o) == 64
+    want = [r for r in reversed(rows) if r[3] or r[1] >= 2000 or r[2] in (2, 3)][:64]
+    assert [r["seq"] for r in sorted(o, key=lambda r: r["slot"])] == [r[0] for r in want] and any(r["parse_error"] for r in o)
+
+
+def test_a_fast_request_that_did_not_parse_is_an_outlier(spark):
+    log = spark.createDataFrame([(1, 10, 0, True), (2, 10, 0, False)], "seq bigint, latency_us bigint, fraud int, parse_error boolean")
+    log = log.withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000)))
+    assert [r["seq"] for r in telemetry.outliers(log).collect()] == [1]
+
+
+def test_report_counts_on(spark, tmp_path):
+    rows = [(i, 1_700_000_000 + 4 * i + (i // 50) * 90_000, 100 * (i % 130), i % 6, i % 10 == 9, i % 17 == 3) for i in range(120)]
+    log = spark.createDataFrame(rows, "seq bigint, s bigint, latency_us bigint, fraud int, parse_error boolean, http_error boolean").withColumn("ts", F.timestamp_seconds("s"))
+    got = sorted(telemetry.report(log).collect(), key=lambda r: r["start"])
+    for r in got:
+        end = int(r["start"].timestamp()) + 10
+        so_far = [x for x in rows if x[1] < end]
+        assert r["n"] == sum(end - 10 <= x[1] < end for x in rows) and r["rps"] == r["n"] / 10
+        assert r["total"] == len(so_far) and r["parse_errors"] == sum(x[4] for x in so_far) and r["http_errors"] == sum(x[5] for x in so_far)
+        assert r["fraud"] + r["legit"] + r["parse_errors"] == r["total"] and r["mean_us"] == sum(x[2] for x in so_far) // len(so_far)
+        assert r["le_250"] == sum(x[2] <= 250 for x in so_far) and r["overflow"] == sum(x[2] > 10_000 for x in so_far)
+    assert len(got) == len({x[1] // 10 for x in rows})
+    telemetry.write_lines(log, str(tmp_path / "on"))
+    lines = [r["value"] for r in spark.read.text(str(tmp_path / "on" / "stats")).collect()]
+    assert len(lines) == len(got) and any("total=120 " in x and "hist_us: <=250:" in x for x in lines)
+    telemetry.write_lines(log, str(tmp_path / "off"), enabled=False)
+    assert spark.read.schema("value string").text(str(tmp_path / "off" / "stats")).count() == 0
+
+
+def test_every_body_is_answered(spark, tmp_path):
+    bodies = [(1, None), (2, "{" + " " * (1 << 17) + "}"), (3, "no"), (4, "{}")]
+    spark.createDataFrame(bodies, "qid bigint, body string").write.option("ignoreNullFields", "false").json(str(tmp_path / "in"))
+    index = ivf.build(refs_of(spark, [(9, 0, False)]), np.zeros((1, 14)), INTS)
+    stream.start(stream.bodies(spark, str(tmp_path / "in")), index, Normalization(), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = {r["qid"]: (r["valid"], r["response"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    fallback = '{"approved":true,"fraud_score":0.0}'
+    assert got == {1: (False, fallback), 2: (False, fallback), 3: (False, fallback), 4: (True, fallback)}
+
+
+def test_scratch_tables_go(spark):
+    with storage.scratch():
+        kept = storage.stash(spark.range(3))
+        assert kept.count() == 3
+    assert kept.stash_path not in storage._written and not resources.exists(spark, kept.stash_path)
 
 
 def test_scores(spark):

@@ -15,10 +15,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.operators.knn import squared_distance
+from txrisk.operators.knn import nearest
 from txrisk.schema import K, SearchConfig
+from txrisk.storage import discard, stash
 
 MAX_CLUSTERS = 4096
+#: Members, or queries, of a cluster that a task holds at a time.
+PART = 8192
 #: Distances that are held at a time.
 DISTANCES = 1 << 24
 
@@ -54,9 +57,10 @@ class Index:
 
 
 def sampled_centroids(refs: DataFrame, dims: list[str], every: int) -> np.ndarray:
-    """References whose id leaves 1 when divided by ``every``, in order of id: a repeatable choice."""
-    rows = refs.where(F.col("ref_id") % every == 1).orderBy("ref_id").select(*dims).collect()
-    return np.array([tuple(r) for r in rows], float).reshape(len(rows), len(dims))
+    """One of ``every`` references, MAX_CLUSTERS at most: those whose ids have the smallest MD5 sums, in order of id."""
+    k = min(MAX_CLUSTERS, -(-refs.count() // every))
+    rows = refs.orderBy(F.md5(F.col("ref_id").cast("string").cast("binary"))).limit(k).select("ref_id", *dims).collect()
+    return np.array([tuple(r)[1:] for r in sorted(rows)], float).reshape(len(rows), len(dims))
 
 
 def trained_centroids(refs: DataFrame, dims: list[str], nlist: int, iterations: int = 30, seed: int = 42) -> np.ndarray:
@@ -94,9 +98,26 @@ def assign(refs: DataFrame, centroids: np.ndarray, dims: list[str]) -> DataFrame
     return refs.mapInPandas(run, f"{refs.schema.simpleString()[7:-1]}, ci int, cdist bigint")
 
 
-def updated(assigned: DataFrame, dims: list[str]) -> DataFrame:
-    """Per cluster: rows and sums, partial sums first.  A cluster without rows keeps its centroid."""
-    return assigned.groupBy("ci").agg(F.count("*").alias("n"), *[F.sum(d).cast("bigint").alias(f"sum_{d}") for d in dims])
+def updated(assigned: DataFrame, centroids: np.ndarray, dims: list[str]) -> DataFrame:
+    """(ci, n, dims): the mean of each cluster's rows, from partial sums; a cluster without rows keeps its centroid."""
+    sums = assigned.groupBy("ci").agg(F.count("*").alias("n"), *[(F.sum(d).cast("double") / F.count("*")).alias(f"_{d}") for d in dims])
+    schema = "ci int, " + ", ".join(f"{d} double" for d in dims)
+    old = assigned.sparkSession.createDataFrame([(i, *map(float, c)) for i, c in enumerate(centroids)], schema)  # MAX_CLUSTERS at most
+    return old.join(sums, "ci", "left").select("ci", F.coalesce("n", F.lit(0)).alias("n"), *[F.coalesce(f"_{d}", d).alias(d) for d in dims])
+
+
+def lloyd(refs: DataFrame, centroids: np.ndarray, dims: list[str], iterations: int) -> np.ndarray:
+    """Centroids after ``iterations`` updates, or fewer if one changes nothing.
+
+    A round is one pass with partial sums, of which the driver gets a row per cluster.
+    """
+    for _ in range(iterations):
+        rows = sorted(updated(assign(refs, centroids, dims), centroids, dims).collect())
+        new = np.array([r[2:] for r in rows], float).reshape(centroids.shape)
+        if (new == centroids).all():
+            break
+        centroids = new
+    return centroids
 
 
 def boxes(assigned: DataFrame, dims: list[str]) -> DataFrame:
@@ -117,9 +138,12 @@ def list_offsets(assigned: DataFrame) -> DataFrame:
 
 
 def build(refs: DataFrame, centroids: np.ndarray, dims: list[str]) -> Index:
-    """Lists and boxes for the centroids as given, so the lists are never one update behind."""
-    assigned = assign(refs, centroids, dims)
-    return Index(centroids, inverted_lists(assigned), boxes(assigned, dims), dims)
+    """Lists and boxes for the centroids as given, so the lists are never one update behind.
+
+    Both are written once to the shared folder: every tier of every search reads them there.
+    """
+    assigned = stash(inverted_lists(assign(refs, centroids, dims)))
+    return Index(centroids, assigned, stash(boxes(assigned, dims)), dims)
 
 
 def probes(queries: DataFrame, index: Index, nprobe: int) -> DataFrame:
@@ -155,11 +179,46 @@ def box_bound(probed: DataFrame, index: Index) -> DataFrame:
     return probed.join(index.boxes, "ci").withColumn("bound", gap).drop(*[f"{s}_{d}" for s in ("lo", "hi") for d in index.dims])
 
 
-def scan(probed: DataFrame, index: Index) -> DataFrame:
-    """All members of the probed clusters with their distance."""
-    m = index.members.select("ci", "pos", "ref_id", "is_fraud", *[F.col(d).alias(f"_{d}") for d in index.dims])
-    dist = squared_distance([F.col(d) for d in index.dims], [F.col(f"_{d}") for d in index.dims])
-    return probed.join(m, "ci").select("qid", "probe", "pos", "ref_id", "is_fraud", dist.alias("dist"))
+def scan(probed: DataFrame, index: Index, k: int = K, same_ids: bool = False) -> DataFrame:
+    """(qid, probe, pos, ref_id, is_fraud, dist): of each probed cluster the k nearest members, ties by place in the list.
+
+    A cluster's members meet its queries in blocks of PART rows a side, however many there are, and no
+    pair is a row.  With ``same_ids`` a query's own row is left out.
+    """
+    dims = index.dims
+    members = index.members.select("ci", "pos", "ref_id", "is_fraud", *dims)
+    # A row per cluster: MAX_CLUSTERS at most.
+    sizes = members.groupBy("ci").agg(F.ceil(F.count("*") / PART).alias("parts"))
+    shape = sizes.join(probed.groupBy("ci").agg(F.ceil(F.count("*") / PART).alias("q_parts")), "ci")
+    shape = shape.select(F.col("ci").alias("ci_"), "parts", "q_parts")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+
+    def met(rows: DataFrame) -> DataFrame:
+        return rows.join(F.broadcast(shape), rows["ci"] == F.col("ci_")).drop("ci_")
+
+    left = met(probed.select("qid", "ci", "probe", *dims)).withColumn("q_part", F.pmod(F.xxhash64("qid"), F.col("q_parts"))).withColumn("part", every("parts"))
+    right = met(members).withColumn("part", F.pmod("pos", F.col("parts"))).withColumn("q_part", every("q_parts"))
+
+    def run(q: pd.DataFrame, m: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(q) and len(m):
+            qid, probe, x = q["qid"].to_numpy(), q["probe"].to_numpy(), q[dims].to_numpy(float)
+            pos, ids, fraud, y = m["pos"].to_numpy(), m["ref_id"].to_numpy(), m["is_fraud"].to_numpy(bool), m[dims].to_numpy(float)
+            step = rows_at_a_time(y, PART)
+            for lo in range(0, len(q), step):
+                d = np.rint(centroid_distances(x[lo : lo + step], y))
+                if same_ids:
+                    d[qid[lo : lo + step, None] == ids[None, :]] = np.inf
+                row, at = nearest(d, pos, k)
+                fine = np.isfinite(d[row, at])
+                row, at = row[fine], at[fine]
+                out.append((qid[row + lo], probe[row + lo], pos[at], ids[at], fraud[at], d[row, at].astype(np.int64)))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [[]] * 6
+        return pd.DataFrame(dict(zip(("qid", "probe", "pos", "ref_id", "is_fraud", "dist"), cols)))
+
+    keys = ["ci", "part", "q_part"]
+    schema = "qid bigint, probe int, pos int, ref_id bigint, is_fraud boolean, dist bigint"
+    return left.drop("parts", "q_parts").groupBy(*keys).cogroup(right.drop("parts", "q_parts").groupBy(*keys)).applyInPandas(run, schema)
 
 
 def top(found: DataFrame, k: int = K) -> DataFrame:
@@ -168,7 +227,7 @@ def top(found: DataFrame, k: int = K) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def two_tier(queries: DataFrame, index: Index, config: SearchConfig = SearchConfig()) -> DataFrame:
+def two_tier(queries: DataFrame, index: Index, config: SearchConfig = SearchConfig(), same_ids: bool = False) -> DataFrame:
     """(qid, fraud): votes after the quick tier, or after all probes where the quick vote is ambiguous.
 
     The second tier goes on from the first one's neighbours, and skips clusters whose box is no nearer
@@ -177,15 +236,17 @@ def two_tier(queries: DataFrame, index: Index, config: SearchConfig = SearchConf
     config = config.clamped(index.nlist)
     if not config.nprobe:
         return queries.select("qid", F.lit(0).cast("bigint").alias("fraud"))
-    probed = probes(queries, index, config.nprobe).persist()
-    first = top(scan(probed.where(F.col("probe") <= config.quick), index))
+    probed = stash(probes(queries, index, config.nprobe))
+    first = stash(top(scan(probed.where(F.col("probe") <= config.quick), index, same_ids=same_ids)))
     votes = first.groupBy("qid").agg(F.count_if("is_fraud").alias("fraud"), F.count("*").alias("n"), F.max("dist").alias("worst"))
     unsure = votes.where(F.col("fraud").between(config.boundary_low, config.boundary_high))
     rest = box_bound(probed.where(F.col("probe") > config.quick).join(unsure, "qid"), index)
     rest = rest.where((F.col("n") < K) | (F.col("bound") < F.col("worst"))).drop("fraud", "n", "worst", "bound")
     keep = first.join(unsure.select("qid"), "qid", "left_semi").drop("rank")
-    second = top(keep.unionByName(scan(rest, index))).groupBy("qid").agg(F.count_if("is_fraud").alias("again"))
-    return (
+    second = top(keep.unionByName(scan(rest, index, same_ids=same_ids))).groupBy("qid").agg(F.count_if("is_fraud").alias("again"))
+    out = stash(
         queries.select("qid").join(votes, "qid", "left").join(second, "qid", "left")
         .select("qid", F.coalesce("again", "fraud", F.lit(0)).cast("bigint").alias("fraud"))
     )
+    discard(probed, first)
+    return out

@@ -1,8 +1,11 @@
 """Exact nearest labelled references.
 
-The default form keeps a batch's references beside a block of queries in numpy and sends on only the k
-nearest of each batch, so no pair is ever a row.  The native form is one unrolled expression over a
-nested-loop join; it needs no Python and shows in the plan.  Both break ties by reference id.
+The default form never makes a row of a pair.  Queries and references are packed in blocks; each reference
+block meets each query block in a join on the block's number, numpy keeps the k nearest per query from
+block to block, and a grouped limit merges what the partitions found.  Query blocks are broadcast
+behind a check of their size and shuffled beyond it, so neither side passes the driver.  The native form is
+one unrolled expression over exploded query blocks; it needs no Python and shows in the plan.  Both break
+ties by reference id.
 """
 
 from __future__ import annotations
@@ -10,12 +13,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that one pass over the references takes: bounds what is sent to executors.
+#: Queries of a block, and query blocks whose neighbours a task holds at a time.
 QUERY_BLOCK = 4096
+BLOCKS_HELD = 64
+#: Distances that are held at a time.
+DISTANCES = 1 << 21
+#: Packed queries are broadcast up to so many bytes.
+BROADCAST_BYTES = 64 << 20
+
+#: What the features are, and how they are packed.
+TYPES = {"int": "<i4", "float": "<f4"}
+BLOCK = "ids binary, x binary"
+FOUND = "qid bigint, ref_id bigint, is_fraud boolean, dist bigint"
 
 
 def squared_distance(left: list[Column], right: list[Column]) -> Column:
@@ -27,71 +40,154 @@ def squared_distance(left: list[Column], right: list[Column]) -> Column:
     return out
 
 
-def nearest(distance: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k least distances, ties by id."""
-    if len(distance) > k:
-        worst = np.partition(distance, k - 1)[k - 1]
-        at = np.flatnonzero(distance <= worst)
-    else:
-        at = np.arange(len(distance))
-    return at[np.lexsort((ids[at], distance[at]))[:k]]
+def nearest(distance: np.ndarray, ids: np.ndarray, k: int, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, place) of the k least distances of each row, ties by id; only up to each row's ``limit``, if given."""
+    if limit is None:
+        limit = np.partition(distance, k - 1, axis=1)[:, k - 1] if distance.shape[1] > k else np.full(len(distance), np.inf)
+    row, at = np.nonzero(distance <= limit[:, None])
+    order = np.lexsort((ids[at], distance[row, at], row))
+    row, at = row[order], at[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[keep], at[keep]
+
+
+class Held:
+    """The k nearest references of a block's queries so far."""
+
+    def __init__(self, qids: np.ndarray, q: np.ndarray, k: int, same_ids: bool):
+        self.qids, self.k, self.same_ids, self.single = qids, k, same_ids, q.dtype == np.float32
+        self.q = q if self.single else q.astype(float)
+        self.norm = (self.q * self.q).sum(1)
+        self.limit = np.full(len(q), np.inf)
+        self.row, self.dist = np.zeros(0, np.int64), np.zeros(0)
+        self.ids, self.fraud = np.zeros(0, np.int64), np.zeros(0, bool)
+
+    def distances(self, lo: int, hi: int, x: np.ndarray, xx: np.ndarray) -> np.ndarray:
+        if self.single:  # in dimension order, as a loop over the dimensions would sum
+            d = np.zeros((min(hi, len(self.q)) - lo, x.shape[1]), np.float32)
+            for k in range(len(x)):
+                gap = self.q[lo:hi, k, None] - x[None, k]
+                d += gap * gap
+            return d
+        # Integers below 2**53: exact in doubles.
+        d = (-2 * self.q[lo:hi]) @ x
+        d += xx
+        d += self.norm[lo:hi, None]
+        return d
+
+    def add(self, ids: np.ndarray, fraud: np.ndarray, x: np.ndarray) -> None:
+        x = x if self.single else x.astype(float)
+        xx = (x * x).sum(0)
+        step = max(1, DISTANCES // len(ids))
+        parts = [(self.row, self.dist, self.ids, self.fraud)]
+        first = not np.isfinite(self.limit).any()
+        for lo in range(0, len(self.q), step):
+            d = self.distances(lo, lo + step, x, xx)
+            if self.same_ids:
+                own = np.flatnonzero(np.isin(ids, self.qids[lo : lo + step]))
+                d[:, own] = np.where(self.qids[lo : lo + step, None] == ids[None, own], np.inf, d[:, own])
+            row, at = nearest(d, ids, self.k, None if first else self.limit[lo : lo + step])
+            dist = d[row, at]
+            fine = np.isfinite(dist)
+            parts.append((row[fine] + lo, dist[fine], ids[at[fine]], fraud[at[fine]]))
+        row, dist, own, label = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((own, dist, row))
+        row, dist, own, label = row[order], dist[order], own[order], label[order]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < self.k
+        self.row, self.dist, self.ids, self.fraud = row[keep], dist[keep], own[keep], label[keep]
+        last = rank[keep] == self.k - 1
+        self.limit[self.row[last]] = self.dist[last]
+
+    def batch(self) -> pa.RecordBatch:
+        cols = (self.qids[self.row], self.ids, self.fraud, self.dist.astype(np.float32 if self.single else np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["qid", "ref_id", "is_fraud", "dist"])
+
+
+def packed_queries(queries: DataFrame, dims: list[str], kind: str = "int") -> tuple[DataFrame, int]:
+    """(block, ids, x), QUERY_BLOCK queries a row with blocks numbered from 0, and how many blocks."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    dealt = queries.select("qid", F.array(*[F.col(d).cast(kind) for d in dims]).alias("x")).withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(blocks)).cast("int"))
+    grouped = dealt.groupBy("block").agg(F.collect_list(F.struct("qid", "x")).alias("rows"))  # about QUERY_BLOCK rows a group
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [c.values for c in b.column("rows")]
+            ids = [r.field("qid").to_numpy().astype("<i8").tobytes() for r in rows]
+            x = [r.field("x").flatten().to_numpy().astype(TYPES[kind]).tobytes() for r in rows]
+            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(ids, pa.binary()), pa.array(x, pa.binary())], ["block", "ids", "x"])
+
+    return grouped.mapInArrow(run, f"block int, {BLOCK}"), blocks
 
 
-def exact_knn(queries: DataFrame, refs: DataFrame, dims: list[str], k: int = 5, native: bool = False) -> DataFrame:
+def packed_references(refs: DataFrame, dims: list[str], kind: str = "int") -> DataFrame:
+    """(ref_ids, fraud, ref_x): a row for each Arrow batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.stack([b.column(d).to_numpy().astype(TYPES[kind]) for d in dims])
+                fraud = b.column("is_fraud").to_numpy(zero_copy_only=False).astype(np.uint8)
+                cols = (b.column("ref_id").to_numpy().astype("<i8"), fraud, x)
+                yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in cols], ["ref_ids", "fraud", "ref_x"])
+
+    columns = [F.col("ref_id").cast("bigint"), F.coalesce("is_fraud", F.lit(False)).alias("is_fraud"), *[F.col(d).cast(kind) for d in dims]]
+    return refs.where("ref_id is not null").select(*columns).mapInArrow(run, "ref_ids binary, fraud binary, ref_x binary")
+
+
+def exact_knn(queries: DataFrame, refs: DataFrame, dims: list[str], k: int = 5, native: bool = False, same_ids: bool = False) -> DataFrame:
     """(qid, ref_id, is_fraud, dist, rank): the k nearest references of each query.
 
-    ``queries``: qid and integer ``dims``; ``refs``: ref_id, ``dims`` and is_fraud.
+    ``queries``: qid and integer ``dims``; ``refs``: ref_id, ``dims`` and is_fraud; no value is null.  With
+    ``same_ids`` queries are rows of the references too, and none is its own neighbour.
     """
-    order = Window.partitionBy("qid").orderBy("dist", "ref_id")
-    if native:
-        q = F.broadcast(queries.select("qid", *[F.col(d).alias(f"_{d}") for d in dims]))
-        pairs = refs.crossJoin(q)
-        dist = squared_distance([F.col(d) for d in dims], [F.col(f"_{d}") for d in dims])
-        found = pairs.select("qid", "ref_id", "is_fraud", dist.alias("dist"))
-    else:
-        found = None
-        for block in _blocks(queries, dims):
-            part = refs.select("ref_id", "is_fraud", *dims).mapInPandas(
-                _nearest_of_batch(*block, dims, k), "qid bigint, ref_id bigint, is_fraud boolean, dist bigint"
-            )
-            found = part if found is None else found.unionAll(part)
-        if found is None:
-            found = refs.sparkSession.createDataFrame([], "qid bigint, ref_id bigint, is_fraud boolean, dist bigint")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    found = _native(queries, refs, dims, same_ids) if native else _nearest(queries, refs, dims, k, "int", same_ids)
+    return _ranked(found, k)
+
+
+def float_knn(queries: DataFrame, refs: DataFrame, dims: list[str], k: int = 5, same_ids: bool = False) -> DataFrame:
+    """The same over single-precision features, whose squares are summed in single precision in dimension order."""
+    return _ranked(_nearest(queries, refs, dims, k, "float", same_ids), k)
 
 
-def _blocks(queries: DataFrame, dims: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Query ids and vectors, QUERY_BLOCK at a time."""
-    ids, rows = [], []
-    for r in queries.select("qid", *dims).toLocalIterator(prefetchPartitions=True):
-        ids.append(r[0])
-        rows.append(tuple(r)[1:])
-        if len(ids) == QUERY_BLOCK:
-            yield np.array(ids), np.array(rows, float)
-            ids, rows = [], []
-    if ids:
-        yield np.array(ids), np.array(rows, float)
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    order = Window.partitionBy("qid").orderBy("dist", "ref_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _nearest_of_batch(qids: np.ndarray, q: np.ndarray, dims: list[str], k: int):
-    norm = (q * q).sum(1)
+def _nearest(queries: DataFrame, refs: DataFrame, dims: list[str], k: int, kind: str, same_ids: bool) -> DataFrame:
+    """(qid, ref_id, is_fraud, dist): the k nearest of each query in each partition, at least."""
+    blocks, n = packed_queries(queries, dims, kind)
+    small = n * QUERY_BLOCK * (4 * len(dims) + 8) <= BROADCAST_BYTES
+    each = packed_references(refs, dims, kind).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    met = each.join(F.broadcast(blocks) if small else blocks, "block")
+    width, dtype = len(dims), TYPES[kind]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, Held] = {}
         for b in batches:
-            ids, fraud, x = b["ref_id"].to_numpy(), b["is_fraud"].to_numpy(), b[dims].to_numpy(float)
-            if not len(x):
-                continue
-            xx = (x * x).sum(1)
-            out = []
-            for lo in range(0, len(q), 64):
-                # Integers below 2**53: exact in doubles.
-                d = norm[lo : lo + 64, None] + xx[None, :] - 2 * (q[lo : lo + 64] @ x.T)
-                for i, row in enumerate(d):
-                    at = nearest(row, ids, k)
-                    out.append(pd.DataFrame({"qid": qids[lo + i], "ref_id": ids[at], "is_fraud": fraud[at], "dist": row[at].astype(np.int64)}))
-            yield pd.concat(out)
-
-    return run
+            for block, ref_ids, fraud, ref_x, ids, x in zip(*(b.column(c).to_pylist() for c in ("block", "ref_ids", "fraud", "ref_x", "ids", "x"))):
+                if block not in held:
+                    if len(held) == BLOCKS_HELD:
+                        yield from (h.batch() for h in held.values())
+                        held.clear()
+                    held[block] = Held(np.frombuffer(ids, "<i8"), np.frombuffer(x, dtype).reshape(-1, width), k, same_ids)
+                held[block].add(np.frombuffer(ref_ids, "<i8"), np.frombuffer(fraud, np.uint8).astype(bool), np.frombuffer(ref_x, dtype).reshape(width, -1))
+        yield from (h.batch() for h in held.values())
+
+    return met.mapInArrow(run, FOUND if kind == "int" else FOUND.replace("dist bigint", "dist float"))
+
+
+def _native(queries: DataFrame, refs: DataFrame, dims: list[str], same_ids: bool) -> DataFrame:
+    """(qid, ref_id, is_fraud, dist) of every query with every reference, in blocks of queries."""
+    n = max(1, -(-queries.count() // QUERY_BLOCK))
+    q = queries.select("qid", *[F.col(d).alias(f"_{d}") for d in dims]).withColumn("block", F.pmod(F.xxhash64("qid"), F.lit(n)).cast("int"))
+    small = n * QUERY_BLOCK * (8 * len(dims) + 8) <= BROADCAST_BYTES
+    each = refs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    pairs = each.join(F.broadcast(q) if small else q, "block")
+    pairs = pairs.where("qid <> ref_id") if same_ids else pairs
+    dist = squared_distance([F.col(d) for d in dims], [F.col(f"_{d}") for d in dims])
+    return pairs.select("qid", "ref_id", "is_fraud", dist.alias("dist"))
 
 
 def vote(found: DataFrame) -> DataFrame:
@@ -108,16 +204,3 @@ def reference_counts(refs: DataFrame) -> DataFrame:
     return refs.agg(
         F.count("*").alias("n_refs"), F.count_if("is_fraud").alias("n_fraud"), F.count_if(~F.col("is_fraud")).alias("n_legit")
     )
-
-
-def float_knn(queries: DataFrame, refs: DataFrame, dims: list[str], k: int = 5) -> DataFrame:
-    """As the native form, over single-precision features summed in dimension order."""
-    q = F.broadcast(queries.select("qid", *[F.col(d).alias(f"_{d}") for d in dims]))
-    dist = None
-    for d in dims:
-        gap = (F.col(d) - F.col(f"_{d}")).cast("float")
-        term = (gap * gap).cast("float")
-        dist = term if dist is None else (dist + term).cast("float")
-    order = Window.partitionBy("qid").orderBy("dist", "ref_id")
-    found = refs.crossJoin(q).select("qid", "ref_id", "is_fraud", dist.alias("dist"))
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,20 +35,51 @@ def sigmoid(x: Column) -> Column:
     return F.when(x > SATURATION, 1.0).when(x < -SATURATION, 0.0).otherwise(1.0 / (1.0 + F.exp(-x)))
 
 
+#: Ensembles of more nodes are walked in numpy, since so many nested conditions do not compile.
+MOST_CONDITIONS = 512
+
+
 def tree_value(nodes: tuple[Node, ...], x: list[Column], at: int = 0) -> Column:
     """A tree as nested conditions."""
     n = nodes[at]
     if n.feature < 0:
-        return F.lit(float(n.value))
+        return F.lit(float(n.value)).cast("float")
     test = x[n.feature] <= F.lit(float(n.threshold)).cast("float")
     return F.when(test, tree_value(nodes, x, n.left)).otherwise(tree_value(nodes, x, n.right))
 
 
+def tree_sums(model: Ensemble, x: np.ndarray) -> np.ndarray:
+    """Initial value and leaves of each row's trees, summed in single precision in the order of the trees."""
+    total = np.full(len(x), model.initial, np.float32)
+    for nodes in model.trees:
+        feature = np.array([n.feature for n in nodes])
+        threshold = np.array([n.threshold for n in nodes], np.float32)
+        left, right = np.array([n.left for n in nodes]), np.array([n.right for n in nodes])
+        value = np.array([n.value for n in nodes], np.float32)
+        at, rows = np.zeros(len(x), np.int64), np.arange(len(x))
+        while len(rows := rows[feature[at[rows]] >= 0]):
+            f = feature[at[rows]]
+            at[rows] = np.where(x[rows, f] <= threshold[at[rows]], left[at[rows]], right[at[rows]])
+        total += value[at]
+    return total
+
+
 def ensemble_score(model: Ensemble, x: list[Column]) -> Column:
-    total = F.lit(float(model.initial))
-    for t in model.trees:
-        total = total + tree_value(t, x)
-    return sigmoid(total) if model.sigmoid else F.greatest(F.lit(0.0), F.least(F.lit(1.0), total))
+    """Score of single-precision features, in single precision throughout."""
+    if sum(map(len, model.trees)) <= MOST_CONDITIONS:
+        total = F.lit(float(model.initial)).cast("float")
+        for t in model.trees:
+            total = (total + tree_value(t, x)).cast("float")
+    else:
+
+        @F.pandas_udf("float")
+        def summed(*columns: pd.Series) -> pd.Series:
+            return pd.Series(tree_sums(model, np.column_stack([c.to_numpy(np.float32) for c in columns])))
+
+        total = summed(*[c.cast("float") for c in x])
+    if model.sigmoid:
+        return sigmoid(total.cast("double")).cast("float")
+    return F.greatest(F.lit(0.0).cast("float"), F.least(F.lit(1.0).cast("float"), total))
 
 
 def quadratic(x: list[Column]) -> list[Column]:
@@ -67,6 +100,22 @@ def logistic_score(model: Logistic, x: list[Column]) -> Column:
     return sigmoid(total)
 
 
+@dataclass(frozen=True)
+class Predictor:
+    """A logistic model where a neighbour search is expected; without a model every score is 0."""
+
+    model: Logistic | None = None
+
+    def predict(self, x: list[Column]) -> Column:
+        return F.lit(0.0) if self.model is None else logistic_score(self.model, x)
+
+    def count(self) -> int:
+        return 0
+
+    def fraud_count(self) -> int:
+        return 0
+
+
 def train_logistic(rows: DataFrame, dims: list[str], label: str, iterations: int = 30) -> Logistic:
     """Class-weighted logistic regression on the quadratic features; one class alone has no model."""
     from pyspark.ml.classification import LogisticRegression
@@ -86,6 +135,7 @@ def train_logistic(rows: DataFrame, dims: list[str], label: str, iterations: int
 
 def confusion(rows: DataFrame, score: Column, label: Column, least: float = 0.5) -> DataFrame:
     """(tp, tn, fp, fn) at a decision threshold."""
-    p = F.coalesce(score >= least, F.lit(False))
+    p, y = F.col("p"), F.col("y")
     count = lambda c, name: F.count_if(c).alias(name)
-    return rows.agg(count(p & label, "tp"), count(~p & ~label, "tn"), count(p & ~label, "fp"), count(~p & label, "fn"))
+    judged = rows.select(F.coalesce(score >= least, F.lit(False)).alias("p"), label.alias("y"))
+    return judged.agg(count(p & y, "tp"), count(~p & ~y, "tn"), count(p & ~y, "fp"), count(~p & y, "fn"))

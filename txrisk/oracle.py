@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from txrisk.operators.ivf import MAX_CLUSTERS
 from txrisk.operators.telemetry import BUCKETS, RING, SLOW_US
 from txrisk.queries import CENTROID_EVERY, CONFIG, LOGISTIC
 from txrisk.schema import DIMS, FEATURES
@@ -74,29 +75,31 @@ def distance(a: str, b: str, dims=INTS) -> str:
 
 
 SPLIT = f"""{FX},
-qs AS MATERIALIZED (SELECT event_id AS qid, {LIST} FROM fx WHERE event_id % 100 = 0),
-rs AS MATERIALIZED (SELECT event_id AS ref_id, {LIST}, is_fraud FROM fx WHERE event_id % 100 <> 0)"""
+qs AS MATERIALIZED (SELECT event_id AS qid, {LIST} FROM fx WHERE event_id % 20 = 0),
+rs AS MATERIALIZED (SELECT event_id AS ref_id, {LIST}, is_fraud FROM fx)"""
 
 
 def nearest(k: int) -> str:
     return f"""{SPLIT},
 knn AS MATERIALIZED (SELECT * FROM (
   SELECT qid, ref_id, is_fraud, dist, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, ref_id) AS INT) AS rank
-  FROM (SELECT qid, ref_id, is_fraud, {distance('qs', 'rs')} AS dist FROM qs CROSS JOIN rs)) WHERE rank <= {k})"""
+  FROM (SELECT qid, ref_id, is_fraud, {distance('qs', 'rs')} AS dist FROM qs JOIN rs ON qid <> ref_id)) WHERE rank <= {k})"""
 
 
+FLOAT_DISTANCE = "(" + " + ".join(f"(q.v{d} - r.v{d}) * (q.v{d} - r.v{d})" for d in range(DIMS)) + ")"
 EXACT = nearest(5) + """,
 ev AS (SELECT qid, CAST(round(count_if(is_fraud) * 5 / count(*)) AS BIGINT) AS fraud FROM knn GROUP BY qid)"""
 
 CLUSTERS = f"""{SPLIT},
-cs AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY ref_id) - 1 AS INT) AS ci, {LIST} FROM rs WHERE ref_id % {CENTROID_EVERY} = 1),
+cs AS MATERIALIZED (SELECT CAST(row_number() OVER (ORDER BY ref_id) - 1 AS INT) AS ci, {LIST} FROM (SELECT *, row_number() OVER (ORDER BY md5(CAST(ref_id AS VARCHAR))) AS turn,
+    count(*) OVER () AS n_refs FROM rs) WHERE turn <= least({MAX_CLUSTERS}, ceil(n_refs / {CENTROID_EVERY}.0))),
 al AS MATERIALIZED (SELECT * FROM (SELECT rs.*, cs.ci, {distance('rs', 'cs')} AS cdist,
     row_number() OVER (PARTITION BY ref_id ORDER BY {distance('rs', 'cs')}, cs.ci) AS o FROM rs CROSS JOIN cs) WHERE o = 1),
 ms AS MATERIALIZED (SELECT *, CAST(row_number() OVER (PARTITION BY ci ORDER BY ref_id) - 1 AS INT) AS pos FROM al),
 pr AS MATERIALIZED (SELECT * FROM (SELECT qs.*, cs.ci, {distance('qs', 'cs')} AS cdist,
     CAST(row_number() OVER (PARTITION BY qid ORDER BY {distance('qs', 'cs')}, cs.ci) AS INT) AS probe FROM qs CROSS JOIN cs)),
 sc AS MATERIALIZED (SELECT pr.qid, pr.probe, ms.pos, ms.ref_id, ms.is_fraud, {distance('pr', 'ms')} AS dist
-  FROM pr JOIN ms USING (ci) WHERE pr.probe <= {CONFIG.nprobe}),
+  FROM pr JOIN ms USING (ci) WHERE pr.probe <= {CONFIG.nprobe} AND pr.qid <> ms.ref_id),
 t1 AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, probe, pos) AS rank
   FROM sc WHERE probe <= {CONFIG.quick}) WHERE rank <= 5),
 t2 AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY dist, probe, pos) AS rank FROM sc) WHERE rank <= 5),
@@ -105,6 +108,20 @@ v2 AS (SELECT qid, count_if(is_fraud) AS fraud FROM t2 GROUP BY qid),
 tt AS (SELECT qs.qid, CAST(coalesce(CASE WHEN v1.fraud BETWEEN 2 AND 3 THEN v2.fraud ELSE v1.fraud END, 0) AS BIGINT) AS fraud
   FROM qs LEFT JOIN v1 USING (qid) LEFT JOIN v2 USING (qid))"""
 
+def means(old: str, assigned: str) -> str:
+    new = ", ".join(f"coalesce(CAST(sum(a.{q}) AS DOUBLE) / count(a.ref_id), any_value(o.{q})::DOUBLE) AS {q}" for q in INTS)
+    return f"SELECT o.ci, count(a.ref_id) AS n, {new} FROM {old} o LEFT JOIN {assigned} a ON a.ci = o.ci GROUP BY o.ci"
+
+
+def near(old: str) -> str:
+    # Distances from norms and products would round in another order; ties of means are not to be expected.
+    d = "(" + " + ".join(f"(rs.{q} - o.{q}) * (rs.{q} - o.{q})" for q in INTS) + ")"
+    return f"SELECT * FROM (SELECT rs.*, o.ci, row_number() OVER (PARTITION BY ref_id ORDER BY round({d}, 3), o.ci) AS o FROM rs CROSS JOIN {old} o) WHERE o = 1"
+
+
+MEANS = f"c1 AS MATERIALIZED ({means('cs', 'al')})"
+AGAIN = f"a1 AS MATERIALIZED ({near('c1')}), c2 AS MATERIALIZED ({means('c1', 'a1')}), a2 AS MATERIALIZED ({near('c2')})"
+
 BOXES = "SELECT ci, " + ", ".join(f"min({q}) AS lo_{q}" for q in INTS) + ", " + ", ".join(f"max({q}) AS hi_{q}" for q in INTS) + " FROM ms GROUP BY ci"
 BOUND = " + ".join(f"CAST(greatest(b.lo_{q} - p.{q}, p.{q} - b.hi_{q}, 0) AS BIGINT) * greatest(b.lo_{q} - p.{q}, p.{q} - b.hi_{q}, 0)" for q in INTS)
 
@@ -119,10 +136,10 @@ def sigmoid(x: str) -> str:
 
 def _gbdt() -> str:
     f = lambda x: f"{x}::FLOAT"
-    t1 = f"(CASE WHEN v0 <= {f(0.3)} THEN -0.8 ELSE CASE WHEN v12 <= {f(0.4)} THEN 0.1 ELSE 0.9 END END)::DOUBLE"
-    t2 = f"(CASE WHEN v7 <= {f(0.5)} THEN CASE WHEN v11 <= {f(0.5)} THEN -0.4 ELSE 0.2 END ELSE 0.6 END)::DOUBLE"
-    t3 = f"(CASE WHEN v5 <= {f(0.0)} THEN 0.3 ELSE CASE WHEN v8 <= {f(0.25)} THEN -0.2 ELSE 0.5 END END)::DOUBLE"
-    return f"{FX}, s AS (SELECT event_id, 0.05::DOUBLE + {t1} + {t2} + {t3} AS x FROM fx) SELECT event_id, {millionths(sigmoid('x'))} AS score FROM s"
+    t1 = f"(CASE WHEN v0 <= {f(0.3)} THEN -0.8 ELSE CASE WHEN v12 <= {f(0.4)} THEN 0.1 ELSE 0.9 END END)::FLOAT"
+    t2 = f"(CASE WHEN v7 <= {f(0.5)} THEN CASE WHEN v11 <= {f(0.5)} THEN -0.4 ELSE 0.2 END ELSE 0.6 END)::FLOAT"
+    t3 = f"(CASE WHEN v5 <= {f(0.0)} THEN 0.3 ELSE CASE WHEN v8 <= {f(0.25)} THEN -0.2 ELSE 0.5 END END)::FLOAT"
+    return f"{FX}, s AS (SELECT event_id, CAST({f(0.05)} + {t1} + {t2} + {t3} AS DOUBLE) AS x FROM fx) SELECT event_id, {millionths(f'CAST(CAST({sigmoid("x")} AS FLOAT) AS DOUBLE)')} AS score FROM s"
 
 
 def _terms() -> list[str]:
@@ -138,6 +155,23 @@ LOG = """l AS (SELECT event_id AS seq, ts, CAST(round(value * 100) AS BIGINT) *
   event_id % 6 AS fraud, event_id % 50 = 0 AS parse_error FROM events)"""
 
 
+def _report() -> str:
+    each = {
+        "total": "true", "fraud": "NOT parse_error AND fraud >= 3", "legit": "NOT parse_error AND fraud < 3",
+        "border_zone": "NOT parse_error AND fraud IN (2, 3)", "parse_errors": "parse_error", "http_errors": "false",
+    }
+    low = 0
+    for b in BUCKETS:
+        each[f"le_{b}"] = f"latency_us <= {b}" + (f" AND latency_us > {low}" if low else "")
+        low = b
+    each["overflow"] = f"latency_us > {low}"
+    n = ", ".join(f"count_if({c}) AS {k}" for k, c in each.items())
+    so_far = ", ".join(f"CAST(sum({k}) OVER w AS BIGINT) AS {k}" for k in each)
+    return f"""WITH {LOG}, i AS (SELECT CAST(floor(epoch(ts) / 10) AS BIGINT) * 10 AS start, sum(latency_us) AS us, {n} FROM l GROUP BY 1)
+SELECT start, total AS n, total / 10.0::DOUBLE AS rps, {so_far}, CAST(floor(CAST(sum(us) OVER w AS DOUBLE) / CAST(sum(total) OVER w AS DOUBLE)) AS BIGINT) AS mean_us
+FROM i WINDOW w AS (ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+
+
 def detection(fp: str, fn: str) -> str:
     e = f"({fp} + 3 * {fn} + 5 * errors)::DOUBLE"
     n = f"(tp + tn + {fp} + {fn} + errors)::DOUBLE"
@@ -189,11 +223,14 @@ ORACLE: dict[str, str] = {
     "knn_embeddings": """WITH x AS MATERIALIZED (SELECT vec_id, label = 1 AS is_fraud,
     list_transform(embedding, lambda v: CAST(greatest(-10000, least(10000, round(CAST(CAST(v * 10000::FLOAT AS FLOAT) AS DOUBLE)))) AS BIGINT)) AS e FROM embeddings),
   d AS (SELECT q.vec_id AS qid, r.vec_id AS ref_id, r.is_fraud, list_sum(list_transform(list_zip(q.e, r.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS dist
-    FROM x q CROSS JOIN x r WHERE q.vec_id % 20 = 0 AND r.vec_id % 20 <> 0)
+    FROM x q JOIN x r ON q.vec_id <> r.vec_id WHERE q.vec_id % 20 = 0)
   SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, ref_id) AS INT) AS rank, ref_id, CAST(dist AS BIGINT) AS dist, is_fraud FROM d) WHERE rank <= 5""",
+    "knn_float": f"""{FX}, d AS (SELECT q.event_id AS qid, r.event_id AS ref_id, r.is_fraud, {FLOAT_DISTANCE} AS dist FROM fx q JOIN fx r ON q.event_id <> r.event_id WHERE q.event_id % 20 = 0)
+SELECT * FROM (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY dist, ref_id) AS INT) AS rank, ref_id, CAST(dist AS DOUBLE) AS dist, is_fraud FROM d) WHERE rank <= 5""",
     "ref_counts": f"{SPLIT} SELECT count(*) AS n_refs, count_if(is_fraud) AS n_fraud, count_if(NOT is_fraud) AS n_legit FROM rs",
     "kmeans_assign": f"{CLUSTERS} SELECT ref_id, ci, cdist FROM al",
-    "kmeans_update": f"{CLUSTERS} SELECT ci, count(*) AS n, {', '.join(f'CAST(sum({q}) AS BIGINT) AS sum_{q}' for q in INTS)} FROM al GROUP BY ci",
+    "kmeans_update": f"{CLUSTERS}, {MEANS} SELECT * FROM c1",
+    "kmeans_lloyd": f"{CLUSTERS}, {MEANS}, {AGAIN} SELECT ci, count(*) AS n FROM a2 GROUP BY ci",
     "inverted_lists": f"""{CLUSTERS}, n AS (SELECT ci, count(*) AS n FROM ms GROUP BY ci),
 o AS (SELECT ci, n, CAST(coalesce(sum(n) OVER (ORDER BY ci ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first FROM n)
 SELECT ref_id, ci, pos, first, n FROM ms JOIN o USING (ci)""",
@@ -206,7 +243,7 @@ SELECT qid, ci, bound, bound < worst AS may_improve FROM lb JOIN v1 USING (qid)"
     "ivf_quick": f"{CLUSTERS} SELECT qid, fraud, CAST(dist AS BIGINT) AS dist FROM v1",
     "ivf_two_tier": f"{CLUSTERS} SELECT qid, fraud FROM tt",
     "ivf_vs_exact": f"""{CLUSTERS}, k5 AS (SELECT qid, is_fraud, row_number() OVER (PARTITION BY qid ORDER BY dist, ref_id) AS o
-  FROM (SELECT qid, ref_id, is_fraud, {distance('qs', 'rs')} AS dist FROM qs CROSS JOIN rs)),
+  FROM (SELECT qid, ref_id, is_fraud, {distance('qs', 'rs')} AS dist FROM qs JOIN rs ON qid <> ref_id)),
 ex AS (SELECT qid, count_if(is_fraud) AS exact FROM k5 WHERE o <= 5 GROUP BY qid)
 SELECT count(*) AS n, count_if((fraud < 3) <> (exact < 3)) AS decisions_apart, count_if(fraud <> exact) AS votes_apart FROM tt JOIN ex USING (qid)""",
     "gbdt_predict": _gbdt(),
@@ -218,8 +255,8 @@ SELECT count(*) AS n, count_if((fraud < 3) <> (exact < 3)) AS decisions_apart, c
   count_if(NOT parse_error AND fraud >= 3) AS denied, count_if(NOT parse_error AND fraud < 3) AS approved, count_if(NOT parse_error AND fraud IN (2, 3)) AS border FROM l""",
     "latency_histogram": f"WITH {LOG} SELECT CASE {' '.join(f'WHEN latency_us <= {b} THEN {b}' for b in BUCKETS)} ELSE -1 END AS bucket_us, count(*) AS n FROM l GROUP BY 1",
     "outlier_ring": f"""WITH {LOG}, o AS (SELECT {DAY} AS start, seq, latency_us, CAST(row_number() OVER (PARTITION BY {DAY} ORDER BY seq DESC) AS INT) AS slot
-  FROM l WHERE NOT parse_error AND (latency_us >= {SLOW_US} OR fraud IN (2, 3))) SELECT start, slot, seq, latency_us FROM o WHERE slot <= {RING}""",
-    "rps_tumbling": f"WITH {LOG} SELECT CAST(floor(epoch(ts) / 10) AS BIGINT) * 10 AS start, count(*) AS n FROM l GROUP BY 1",
+  FROM l WHERE parse_error OR latency_us >= {SLOW_US} OR fraud IN (2, 3)) SELECT start, slot, seq, latency_us FROM o WHERE slot <= {RING}""",
+    "rps_tumbling": _report(),
     "detection_score": f"""{LOGREG}, {LOG}, c AS ({CONFUSION}), p AS (SELECT quantile_cont(latency_us::DOUBLE, 0.99) AS p99, count_if(parse_error) AS errors FROM l)
 SELECT tp, tn, fp // 100 AS fp, fn // 100 AS fn, errors, {millionths(LATE)} AS latency_points, {millionths(LESS)} AS detection_points,
   {millionths(detection('fp', 'fn'))} AS raw_points, {millionths(f'{LATE} + {LESS}')} AS final_points FROM c, p""",

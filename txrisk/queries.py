@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +15,10 @@ from txrisk.plans import scoring
 from txrisk.plans.scoring import INTS
 from txrisk.schema import DIMS, FEATURES, SearchConfig
 from txrisk.sources import fixtures
+from txrisk.storage import new_path, stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-CONFIG = SearchConfig(nprobe=8, quick=3)
+CONFIG = SearchConfig()
 CENTROID_EVERY = 250
 
 #: A small fixed ensemble over the single-precision features.
@@ -59,7 +59,7 @@ def _index(refs: DataFrame) -> ivf.Index:
 def fraud_score(spark, sf_dir):
     """Flagship: features, five nearest references, vote, decision."""
     q, r = _split(spark, sf_dir)
-    return scoring.decided(scoring.exact_votes(q, r))
+    return scoring.decided(scoring.exact_votes(q, r, same_ids=True))
 
 
 @query
@@ -157,30 +157,40 @@ def missing_object_defaults(spark, sf_dir):
 @query
 def knn_top5(spark, sf_dir):
     q, r = _split(spark, sf_dir)
-    return knn.exact_knn(q, r, INTS).select("qid", "rank", "ref_id", "dist", "is_fraud")
+    return knn.exact_knn(q, r, INTS, same_ids=True).select("qid", "rank", "ref_id", "dist", "is_fraud")
 
 
 @query
 def knn_top5_native(spark, sf_dir):
     q, r = _split(spark, sf_dir)
-    return knn.exact_knn(q, r, INTS, native=True).select("qid", "rank", "ref_id", "dist", "is_fraud")
+    return knn.exact_knn(q, r, INTS, native=True, same_ids=True).select("qid", "rank", "ref_id", "dist", "is_fraud")
 
 
 @query
 def knn_vote_ratio(spark, sf_dir):
     q, r = _split(spark, sf_dir)
-    return knn.vote_ratio(knn.exact_knn(q, r, INTS, 3)).select("qid", "n", "fraud", millionths(F.col("ratio")).alias("ratio"))
+    return knn.vote_ratio(knn.exact_knn(q, r, INTS, 3, same_ids=True)).select("qid", "n", "fraud", millionths(F.col("ratio")).alias("ratio"))
 
 
 @query
 def knn_embeddings(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    n = len(e.select("embedding").first()["embedding"])
+    n = e.agg(F.max(F.size("embedding"))).first()[0] or 0
     dims = [f"e{d}" for d in range(n)]
-    e = e.select("vec_id", (F.col("label") == 1).alias("is_fraud"), *[quantized(F.col("embedding")[d]).alias(x) for d, x in enumerate(dims)])
-    q = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid")
-    r = e.where("vec_id % 20 <> 0").withColumnRenamed("vec_id", "ref_id")
-    return knn.exact_knn(q, r, dims).select("qid", "rank", "ref_id", "dist", "is_fraud")
+    whole = F.size("embedding") == n
+    e = e.where(F.col("vec_id").isNotNull() & F.coalesce(whole, F.lit(False)))
+    e = e.select("vec_id", F.coalesce(F.col("label") == 1, F.lit(False)).alias("is_fraud"), *[F.coalesce(quantized(F.get("embedding", F.lit(d))), F.lit(0)).alias(x) for d, x in enumerate(dims)])
+    q, r = e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "qid"), e.withColumnRenamed("vec_id", "ref_id")
+    return knn.exact_knn(q, r, dims, same_ids=True).select("qid", "rank", "ref_id", "dist", "is_fraud")
+
+
+@query
+def knn_float(spark, sf_dir):
+    """Single-precision search over the unrounded features."""
+    fx, names = _fx(spark, sf_dir), [f"v{d}" for d in range(DIMS)]
+    q = fx.where("event_id % 20 = 0").select(F.col("event_id").alias("qid"), *names)
+    r = fx.select(F.col("event_id").alias("ref_id"), *names, "is_fraud")
+    return knn.float_knn(q, r, names, same_ids=True).select("qid", "rank", "ref_id", F.col("dist").cast("double").alias("dist"), "is_fraud")
 
 
 @query
@@ -197,7 +207,16 @@ def kmeans_assign(spark, sf_dir):
 @query
 def kmeans_update(spark, sf_dir):
     r = _split(spark, sf_dir)[1]
-    return ivf.updated(ivf.assign(r, ivf.sampled_centroids(r, INTS, CENTROID_EVERY), INTS), INTS)
+    c = ivf.sampled_centroids(r, INTS, CENTROID_EVERY)
+    return ivf.updated(ivf.assign(r, c, INTS), c, INTS)
+
+
+@query
+def kmeans_lloyd(spark, sf_dir):
+    """Rows per cluster after two rounds."""
+    r = _split(spark, sf_dir)[1]
+    c = ivf.lloyd(r, ivf.sampled_centroids(r, INTS, CENTROID_EVERY), INTS, 2)
+    return ivf.assign(r, c, INTS).groupBy("ci").agg(F.count("*").alias("n"))
 
 
 @query
@@ -229,8 +248,8 @@ def probe_select(spark, sf_dir):
 def bbox_prune(spark, sf_dir):
     q, r = _split(spark, sf_dir)
     x = _index(r)
-    p = ivf.probes(q, x, CONFIG.nprobe)
-    worst = ivf.top(ivf.scan(p.where(F.col("probe") <= CONFIG.quick), x)).groupBy("qid").agg(F.max("dist").alias("worst"))
+    p = stash(ivf.probes(q, x, CONFIG.clamped(x.nlist).nprobe))
+    worst = ivf.top(ivf.scan(p.where(F.col("probe") <= CONFIG.quick), x, same_ids=True)).groupBy("qid").agg(F.max("dist").alias("worst"))
     return ivf.box_bound(p, x).join(worst, "qid").select("qid", "ci", "bound", (F.col("bound") < F.col("worst")).alias("may_improve"))
 
 
@@ -238,21 +257,21 @@ def bbox_prune(spark, sf_dir):
 def ivf_quick(spark, sf_dir):
     q, r = _split(spark, sf_dir)
     x = _index(r)
-    t = ivf.top(ivf.scan(ivf.probes(q, x, CONFIG.quick), x))
+    t = ivf.top(ivf.scan(ivf.probes(q, x, CONFIG.quick), x, same_ids=True))
     return t.groupBy("qid").agg(F.count_if("is_fraud").alias("fraud"), F.sum("dist").alias("dist"))
 
 
 @query
 def ivf_two_tier(spark, sf_dir):
     q, r = _split(spark, sf_dir)
-    return ivf.two_tier(q, _index(r), CONFIG)
+    return ivf.two_tier(q, _index(r), CONFIG, same_ids=True)
 
 
 @query
 def ivf_vs_exact(spark, sf_dir):
     q, r = _split(spark, sf_dir)
-    a = ivf.two_tier(q, _index(r), CONFIG).withColumnRenamed("fraud", "approx")
-    b = scoring.exact_votes(q, r)
+    a = ivf.two_tier(q, _index(r), CONFIG, same_ids=True).withColumnRenamed("fraud", "approx")
+    b = scoring.exact_votes(q, r, same_ids=True)
     return a.join(b, "qid").agg(
         F.count("*").alias("n"), F.count_if((F.col("approx") < 3) != (F.col("fraud") < 3)).alias("decisions_apart"),
         F.count_if(F.col("approx") != F.col("fraud")).alias("votes_apart"),
@@ -262,7 +281,7 @@ def ivf_vs_exact(spark, sf_dir):
 @query
 def gbdt_predict(spark, sf_dir):
     fx = _fx(spark, sf_dir)
-    return fx.select("event_id", millionths(models.ensemble_score(TREES, [F.col(f"v{d}") for d in range(DIMS)])).alias("score"))
+    return fx.select("event_id", millionths(models.ensemble_score(TREES, [F.col(f"v{d}") for d in range(DIMS)]).cast("double")).alias("score"))
 
 
 def _logistic() -> Column:
@@ -290,14 +309,14 @@ def logreg_train(spark, sf_dir):
 @query
 def kmeans_train(spark, sf_dir):
     r = _split(spark, sf_dir)[1]
-    x = ivf.build(r, ivf.trained_centroids(r, INTS, 16, 10), INTS)
+    x = ivf.build(r, ivf.trained_centroids(r, INTS, ivf.MAX_CLUSTERS), INTS)
     return ivf.list_offsets(x.members)
 
 
 @query
 def decision_response(spark, sf_dir):
     q, r = _split(spark, sf_dir)
-    v = scoring.exact_votes(q, r)
+    v = scoring.exact_votes(q, r, same_ids=True)
     return v.select("qid", scoring.response(F.col("fraud")).alias("response"))
 
 
@@ -328,7 +347,7 @@ def outlier_ring(spark, sf_dir):
 
 @query
 def rps_tumbling(spark, sf_dir):
-    return telemetry.rate(_log(spark, sf_dir)).select(F.unix_seconds("start").alias("start"), "n")
+    return telemetry.report(_log(spark, sf_dir)).withColumn("start", F.unix_seconds("start"))
 
 
 @query
@@ -352,10 +371,9 @@ def stream_score(spark, sf_dir):
     """Bodies as a stream of files, scored in micro-batches against the static index."""
     from txrisk.streaming import scoring as stream
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="txrisk-stream-")
-    root = f"{root.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash((sf_dir, id(object()))))}"
-    r = fixtures.requests(spark, sf_dir).where("event_id % 100 = 0")
+    root = new_path(spark)
+    r = fixtures.requests(spark, sf_dir)
     r.select(F.col("event_id").alias("qid"), _odd_body((F.col("event_id") / 100).cast("bigint"), F.to_json("request")).alias("body")).repartition(3).write.json(f"{root}/in")
     index = _index(_split(spark, sf_dir)[1])
-    stream.start(stream.bodies(spark, f"{root}/in", 1), index, fixtures.NORM, f"{root}/out", f"{root}/state", CONFIG).awaitTermination()
+    stream.start(stream.bodies(spark, f"{root}/in", 1), index, fixtures.NORM, f"{root}/out", f"{root}/state", CONFIG, same_ids=True).awaitTermination()
     return spark.read.parquet(f"{root}/out").select("qid", "valid", "response")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from txrisk.functions.features import quantized, vector
 from txrisk.schema import DIMS, Normalization
+from txrisk.storage import discard, stash
 
 NORM = Normalization(max_amount=500.0, max_merchant_avg_amount=500.0)
 MCC_OF_EVENT = {"click": "5411", "view": "5912", "signup": "5812", "purchase": "5944"}
@@ -30,7 +31,6 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     user = Window.partitionBy("user_id").orderBy("ts", "event_id")
     before = user.rowsBetween(Window.unboundedPreceding, -1)
     day = Window.partitionBy("user_id").orderBy("micros").rangeBetween(-86_400_000_000, 0)
-    shop = Window.partitionBy("k").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
     visit = Window.partitionBy("user_id", "k").orderBy("ts", "event_id")
     e = e.withColumns(
         {
@@ -40,7 +40,16 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
             "last_k": F.lag("k").over(user),
             "visit": F.row_number().over(visit),
         }
-    ).withColumn("shop_usual", F.sum("cents").over(shop) / F.count("*").over(shop) / 100.0)
+    )
+    # A shop's history goes by day first, so that no task holds a whole shop: there are few shops and many days.
+    e = e.withColumn("day", F.to_date("ts"))
+    days = e.groupBy("k", "day").agg(F.sum("cents").alias("c"), F.count("*").alias("n"))
+    past = Window.partitionBy("k").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select(F.col("k").alias("k_"), F.col("day").alias("day_"), F.coalesce(F.sum("c").over(past), F.lit(0)).alias("c_"), F.coalesce(F.sum("n").over(past), F.lit(0)).alias("n_"))
+    e = e.join(days, F.col("k").eqNullSafe(F.col("k_")) & F.col("day").eqNullSafe(F.col("day_"))).drop("k_", "day_")
+    today = Window.partitionBy("k", "day").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    cents, n = F.col("c_") + F.coalesce(F.sum("cents").over(today), F.lit(0)), F.col("n_") + F.count("*").over(today)
+    e = e.withColumn("shop_usual", F.when(n > 0, cents / n / 100.0))
     stamp = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     shop_id = F.col("k").cast("string")
     codes = F.create_map(*[F.lit(x) for kv in MCC_OF_EVENT.items() for x in kv])
@@ -74,21 +83,26 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, v0.., q0.., is_fraud), kept for the session: every query of the engine starts here."""
-    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
-    if key in _kept:
-        return _kept[key]
-    r = requests(spark, sf_dir)
-    v = r.select("event_id", *vector(F.col("request"), NORM), (F.col("label") == "fraud").alias("is_fraud"))
-    q = v.select("*", *[quantized(F.col(f"v{d}")).alias(f"q{d}") for d in range(DIMS)])
-    _kept[key] = q.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "event_id").persist()
+    """(event_id, v0.., q0.., is_fraud), written once for a session and table: every query of the engine starts here."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _kept:
+        r = requests(spark, sf_dir)
+        v = r.select("event_id", *vector(F.col("request"), NORM), (F.col("label") == "fraud").alias("is_fraud"))
+        _kept[key] = stash(v.select("*", *[quantized(F.col(f"v{d}")).alias(f"q{d}") for d in range(DIMS)]))
     return _kept[key]
 
 
-def queries_and_references(fx: DataFrame, every: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Every ``every``-th event is a query, the rest are references."""
+def forget() -> None:
+    """Delete what ``labelled`` has written."""
+    for held in _kept.values():
+        discard(held)
+    _kept.clear()
+
+
+def queries_and_references(fx: DataFrame, every: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Every ``every``-th event is a query against all events; a search leaves out its own row (``same_ids``)."""
     ints = [f"q{d}" for d in range(DIMS)]
     return (
         fx.where(F.col("event_id") % every == 0).select(F.col("event_id").alias("qid"), *ints),
-        fx.where(F.col("event_id") % every != 0).select(F.col("event_id").alias("ref_id"), *ints, "is_fraud"),
+        fx.select(F.col("event_id").alias("ref_id"), *ints, "is_fraud"),
     )

@@ -7,13 +7,16 @@ from dataclasses import dataclass
 from pathlib import PurePosixPath
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from txrisk.errors import DecodeError, ReadError
 from txrisk.operators import ivf
-from txrisk.operators.models import Ensemble, Logistic, Node
+from txrisk.operators.models import Ensemble, Logistic, Node, Predictor
 from txrisk.schema import DEFAULT_RISK, DIMS, MCC_RISK, SCALE, Normalization
+from txrisk.storage import stash
 
 INTS = [f"q{d}" for d in range(DIMS)]
 
@@ -155,6 +158,36 @@ def logistic(spark: SparkSession, path: str) -> Logistic:
     return parse_logistic(_bytes(spark, path))
 
 
+def predictor(spark: SparkSession, path: str) -> Predictor:
+    """The logistic model of a file, as a predictor."""
+    return Predictor(logistic(spark, path))
+
+
+def _file(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at, fs = _file(spark, path)
+    return fs.exists(at)
+
+
+def save_bytes(spark: SparkSession, data: bytes, path: str) -> None:
+    """Write a file through Hadoop's file systems, over one that is there."""
+    at, fs = _file(spark, path)
+    out = fs.create(at, True)
+    try:
+        for lo in range(0, len(data), 1 << 20):
+            out.write(bytearray(data[lo : lo + (1 << 20)]))
+    finally:
+        out.close()
+
+
+def save_logistic(spark: SparkSession, model: Logistic, path: str) -> None:
+    save_bytes(spark, dump_logistic(model), path)
+
+
 @dataclass
 class FlatIndex:
     """The arrays of a binary index file."""
@@ -195,23 +228,41 @@ def import_index(spark: SparkSession, path: str) -> ivf.Index:
     x = parse_index(_bytes(spark, path))
     cluster = np.repeat(np.arange(len(x.centroids)), np.diff(x.offsets.astype(np.int64)))
     pos = np.arange(len(x.vectors)) - x.offsets.astype(np.int64)[cluster]
-    rows = [
-        (int(c), int(p), i, *map(int, v), bool(f)) for i, (c, p, v, f) in enumerate(zip(cluster, pos, x.vectors, x.fraud))
-    ]
-    ints = ", ".join(f"{d} int" for d in INTS)
-    members = spark.createDataFrame(rows, f"ci int, pos int, ref_id bigint, {ints}, is_fraud boolean")
-    return ivf.Index(x.centroids.astype(float) * SCALE, members, ivf.boxes(members, INTS), INTS)
+    columns = {"ci": cluster.astype(np.int32), "pos": pos.astype(np.int32), "ref_id": np.arange(len(x.vectors))}
+    columns |= {d: x.vectors[:, k].astype(np.int32) for k, d in enumerate(INTS)} | {"is_fraud": x.fraud}
+    members = stash(spark.createDataFrame(pa.table(columns)))  # Arrow columns, no Python rows
+    return ivf.Index(x.centroids.astype(float) * SCALE, members, stash(ivf.boxes(members, INTS)), INTS)
+
+
+def packed_lists(index: ivf.Index) -> DataFrame:
+    """(ci, n, vectors, fraud): each list's arrays in order, packed where its members are."""
+
+    dims = index.dims
+
+    def run(m: pd.DataFrame) -> pd.DataFrame:
+        m = m.sort_values("pos")
+        v = np.ascontiguousarray(m[dims].to_numpy("<i2")).tobytes()
+        return pd.DataFrame({"ci": [m["ci"].iloc[0]], "n": [len(m)], "vectors": [v], "fraud": [m["is_fraud"].to_numpy(np.uint8).tobytes()]})
+
+    return index.members.groupBy("ci").applyInPandas(run, "ci int, n bigint, vectors binary, fraud binary")
 
 
 def export_index(index: ivf.Index) -> FlatIndex:
-    """Tables as the arrays of a binary index; for indexes that fit one machine."""
-    rows = index.members.orderBy("ci", "pos").select("ci", *index.dims, "is_fraud").toPandas()
-    ci, v = rows["ci"].to_numpy(), rows[index.dims].to_numpy(np.int64).reshape(len(rows), DIMS)
-    offsets = np.searchsorted(ci, np.arange(index.nlist + 1))
+    """Tables as the arrays of a binary index.
+
+    The format is one file for one machine, so its arrays (29 bytes a member) must fit the driver; larger
+    indexes stay Parquet (`Index.save`).
+    """
+    rows = packed_lists(index).toPandas().sort_values("ci")
+    n = np.zeros(index.nlist, np.int64)
+    n[rows["ci"]] = rows["n"]
+    v = np.frombuffer(b"".join(rows["vectors"]), "<i2").reshape(-1, DIMS)
+    offsets = np.concatenate([[0], np.cumsum(n)])
     low, high = np.zeros((index.nlist, DIMS), np.int64), np.zeros((index.nlist, DIMS), np.int64)
-    for c in np.unique(ci):
-        low[c], high[c] = v[ci == c].min(0), v[ci == c].max(0)
-    return FlatIndex(index.centroids / SCALE, offsets, low, high, v, rows["is_fraud"].to_numpy(bool))
+    for c in np.flatnonzero(n):
+        own = v[offsets[c] : offsets[c + 1]]
+        low[c], high[c] = own.min(0), own.max(0)
+    return FlatIndex(index.centroids / SCALE, offsets, low, high, v, np.frombuffer(b"".join(rows["fraud"]), np.uint8).astype(bool))
 
 
 @dataclass

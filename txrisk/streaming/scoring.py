@@ -3,30 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from txrisk.operators import ivf, telemetry
 from txrisk.plans.scoring import score_bodies
 from txrisk.schema import Normalization, SearchConfig
-
-#: Longest body that is scored; longer ones are rejected before parsing.
-MAX_BODY = 1 << 16
-
+from txrisk.storage import scratch
 
 def bodies(spark: SparkSession, path: str, files_per_trigger: int = 64) -> DataFrame:
     """(qid, body) from a folder of JSON-lines files with a number and a body each."""
-    s = spark.readStream.schema("qid bigint, body string").option("maxFilesPerTrigger", files_per_trigger).json(path)
-    return s.where(F.length("body") <= MAX_BODY)
+    return spark.readStream.schema("qid bigint, body string").option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
 def start(
-    stream: DataFrame, index: ivf.Index, norm: Normalization, out: str, checkpoint: str, config: SearchConfig = SearchConfig()
+    stream: DataFrame, index: ivf.Index, norm: Normalization, out: str, checkpoint: str, config: SearchConfig = SearchConfig(), same_ids: bool = False
 ) -> StreamingQuery:
-    """Scores each micro-batch by the batch plan; a batch that is run again overwrites its own folder."""
+    """Scores each micro-batch by the batch plan; a batch that is run again overwrites its own folder.
+
+    Every body gets an answer, null and overlong ones too.
+    """
 
     def batch(df: DataFrame, number: int) -> None:
-        score_bodies(df, index, norm, config).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        with scratch():
+            score_bodies(df, index, norm, config, same_ids).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
