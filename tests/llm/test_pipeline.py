@@ -78,3 +78,33 @@ def test_run_and_registry(spark, data, stages):
     assert corpus_pipeline.run(spark, data).count() == stages[5].count()
     names = __spark_entry__.queries()
     assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+
+
+ODD = "doc_id bigint, text string, lang string, source string, n_chars bigint, _file string, r int, label string"
+
+
+def test_odd_rows_pass_all_stages(spark, data):
+    good = table(spark, data, "documents").orderBy("doc_id").limit(60).collect()
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"], r["n_chars"], "f", 1, None) for r in good]
+    rows += [rows[0], rows[0], (None, rows[1][1], None, None, None, None, None, "x")]  # repeated rows, and a copy without an id
+    rows += [(10**6, None, None, None, None, None, 2, "y"), (10**6 + 1, "", "en", "s", 0, "", 3, "y"), (None, "  ", "en", "s", 2, "f", 4, "z")]
+    rows += [(10**6 + 2, " ".join(f"word{k}" for k in range(60_000)), "en", "s", 1, "f", 5, None)]
+    docs = stash(spark.createDataFrame(rows, ODD))
+    before = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stash(stage(spark, before, data))
+        assert after.columns == docs.columns and after.schema == docs.schema, name
+        if name == "simhash_near_dedup":
+            ids = [r["doc_id"] for r in after.select("doc_id").collect()]
+            assert len(ids) == len(set(ids)) and 10**6 + 2 in ids
+            assert sum(not (r["text"] or "").strip() for r in after.collect()) <= 1
+        before = after
+    packed = corpus_pipeline.STAGES[-1][1](spark, before, data)
+    assert packed.where("piece = 0").count() == before.count() and packed.agg({"length": "max"}).first()[0] <= 4096
+
+
+def test_an_empty_table_stays_empty(spark, data):
+    docs = stash(spark.createDataFrame([], ODD))
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stash(stage(spark, docs, data))
+        assert docs.count() == 0
