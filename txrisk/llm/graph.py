@@ -28,7 +28,12 @@ def components(edges: DataFrame) -> DataFrame:
     state is written to the shared folder after every round, and the last round's is deleted.
     """
     both = stash(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct())
-    tasks = 1 + both.count() // EDGES_EACH  # few edges are not worth many small files
+    n = both.count()
+    if not n:
+        out = both.select(F.col("a").alias("id"), F.col("b").alias("component"))
+        out.stash_path = both.stash_path
+        return out
+    tasks = 1 + n // EDGES_EACH  # few edges are not worth many small files
     labels = stash(both.groupBy(F.col("a").alias("id")).agg(F.least(F.col("id"), F.min("b")).alias("component")).coalesce(tasks))
     while True:
         heard = both.join(labels, both["a"] == labels["id"]).groupBy(F.col("b").alias("id")).agg(F.min("component").alias("heard"))
