@@ -194,6 +194,8 @@ ORDER_ROWS = 20_000
 ORDER_SHINGLES = 200_000
 #: So many row keys are broadcast (about 24 MB), more are shuffled.
 SMALL_ROWS = 1_000_000
+#: Members of an anchor up to which they are compared without another order.
+GROUP = 32
 #: Bytes of a shingle's hash that are compared: two sets of 20,000 have a false match with chance 4e-4.
 HASH_BYTES = 5
 
@@ -335,7 +337,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     head = F.struct((pos / n).alias("rarer"), "id", n.alias("n"), pos.alias("pos"))
     met = found.withColumns({"met": F.count("*").over(anchor), "lead": F.min(F.when(at_home, head)).over(anchor)})
     met = met.where("met > 1 and lead is not null")
-    rows = stash(met.select("anchor", "id", n.alias("n"), pos.alias("pos"), at_home.alias("home"), "lead", F.col("lead.id").alias("leader")))
+    rows = stash(met.select("anchor", "id", n.alias("n"), pos.alias("pos"), at_home.alias("home"), "lead", F.col("lead.id").alias("leader"), "met"))
 
     def close(n: Column, pos: Column, m: Column, at: Column) -> Column:
         # Enough shingles must be left from here on: that holds at the first one that a true pair has in common.
@@ -357,9 +359,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     discard(known)
     known = components(closest.union(led))
 
-    # Where members are still apart, all of the anchor come into question.  These few get the best order: by the
-    # number of them that hold a shingle.  A shingle that only one holds meets nothing but counts as a place.
-    now = apart(known).withColumn("some", F.max(F.col("label") != F.col("chief")).over(anchor)).where("some")
+    # Where members are still apart, all of the anchor are compared: at once if they are few.  Those of larger groups get
+    # the best order first: by the number of them that hold a shingle.  A shingle that only one holds meets nothing
+    # but counts as a place.
+    left = apart(known).withColumn("some", F.max(F.col("label") != F.col("chief")).over(anchor)).where("some")
+    left = stash(left.select("anchor", "id", "n", "pos", "home", "label", "met"))
+    now = left.where(F.col("met") > GROUP)
     asked = stash(now.select("id", "n", "label").distinct())
     n_asked = asked.count()
 
@@ -378,21 +383,21 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     home = place < F.col("n") - F.ceil(F.lit(similarity / (1 + similarity)) * 2 * F.col("n") - 1e-9) + 1
     fine = stash(shown.where(first).select("anchor", "id", "n", place.alias("pos"), home.alias("home"), "label"))
     here, there = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-    rest = (
-        fine.alias("l")
-        .join(
-            fine.alias("r"),
+
+    def pairs(x: DataFrame) -> DataFrame:
+        met = x.alias("l").join(
+            x.alias("r"),
             (here("anchor") == there("anchor"))
             & (here("id") < there("id"))
             & (here("label") != there("label"))
             & (here("home") | there("home"))
             & close(here("n"), here("pos"), there("n"), there("pos")),
         )
-        .select(here("id").alias("a"), there("id").alias("b"))
-        .distinct()
-    )
+        return met.select(here("id").alias("a"), there("id").alias("b"))
+
+    rest = pairs(left.where(F.col("met") <= GROUP)).union(pairs(fine)).distinct()
     more = verify(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-    discard(rows, tried, known, asked, fine)
+    discard(rows, tried, known, left, asked, fine)
     linked = components(closest.union(led).union(more))
     discard(closest, led, more)
 
