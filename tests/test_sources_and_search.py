@@ -5,6 +5,7 @@ import json
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -327,3 +328,37 @@ def test_scores(spark):
     assert f(10, 10, 10, 10, 0) == -3000
     p = lambda x: spark.range(1).select(telemetry.latency_points(F.lit(x))).first()[0]
     assert (p(0.5), p(100.0), p(2500.0)) == (3000, 1000, -3000)
+
+
+def test_pruned_search_agrees_with_brute_force_and_looks_at_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL", (60, 60))
+    monkeypatch.setattr(knn, "NATIVE_CELL", 60)
+    monkeypatch.setattr(knn, "LEAF", 8)
+    rng = np.random.default_rng(21)
+    base = np.repeat(rng.integers(-9000, 9000, (300, 14)), 3, axis=0)
+    base[:, 2:] //= 3000
+    x = np.vstack([base, np.zeros((200, 14), int)])  # copies of three, and one large group of copies
+    refs = spark.createDataFrame([(i, *map(int, v), bool(i % 3)) for i, v in enumerate(x)], "ref_id bigint, " + ", ".join(f"{q} int" for q in INTS) + ", is_fraud boolean").repartition(3)
+    q = refs.where("ref_id % 7 = 0").select(F.col("ref_id").alias("qid"), *INTS)
+    for native in (False, True):
+        got = {}
+        for r in knn.exact_knn(q, refs, INTS, 5, native, same_ids=True).collect():
+            got.setdefault(r["qid"], []).append((r["rank"], r["dist"], r["ref_id"], r["is_fraud"]))
+        assert len(got) == -(-len(x) // 7)
+        for i, found in got.items():
+            want = sorted((int(((x[i] - x[j]) ** 2).sum()), j) for j in range(len(x)) if j != i)[:5]
+            assert sorted(found) == [(n + 1, d, j, bool(j % 3)) for n, (d, j) in enumerate(want)]
+    few = pa.table({"cell": [0] * len(x), "part": [0] * len(x), "ref_id": range(len(x)), "is_fraud": [False] * len(x), **{c: x[:, d].astype("int32") for d, c in enumerate(INTS)}})
+    cell = knn.Cell(knn.packed(few, INTS, "int", 6).to_pylist()[0], 14, "int")
+    assert len(cell.raw) == 301 and cell.copies.max() == 6
+    seen, inner = [], cell.distances
+    cell.distances = lambda q, at: seen.append(len(q) * len(at)) or inner(q, at)
+    cell.search(x[::7].astype("<i4"), np.full(len(x[::7]), np.inf), 6)
+    assert sum(seen) < 0.5 * len(x[::7]) * len(x)
+
+
+def test_a_repeated_own_id_leaves_enough_neighbours(spark):
+    refs = refs_of(spark, [(7, 0, True)] * 9 + [(i, i * 10, False) for i in range(1, 5)])
+    for native in (False, True):
+        found = knn.exact_knn(queries_of(spark, [(7, 0)]), refs, INTS, 3, native, same_ids=True)
+        assert [r["ref_id"] for r in found.orderBy("rank").collect()] == [1, 2, 3]
