@@ -362,3 +362,11 @@ def test_a_repeated_own_id_leaves_enough_neighbours(spark):
     for native in (False, True):
         found = knn.exact_knn(queries_of(spark, [(7, 0)]), refs, INTS, 3, native, same_ids=True)
         assert [r["ref_id"] for r in found.orderBy("rank").collect()] == [1, 2, 3]
+
+
+def test_trained_centroids_weigh_equal_rows(spark):
+    refs = refs_of(spark, [(i, v, False) for i, v in enumerate([0] * 30 + [10] * 10 + [9000] * 5)])
+    found = ivf.trained_centroids(refs, INTS, 2, 20)
+    assert sorted(found[:, 0].tolist()) in ([2.5, 9000.0], [0.0, 45100 / 15])
+    assert len(ivf.trained_centroids(refs, INTS, 9, 3)) == 3
+    assert ivf.trained_centroids(refs_of(spark, []), INTS, 4).shape == (0, 14)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,8 +23,9 @@ from txrisk.storage import discard, stash
 MAX_CLUSTERS = 4096
 #: Members, or queries, of a cluster that a task holds at a time.
 PART = 8192
-#: Distances that are held at a time.
+#: Distances that are held at a time, and those of a block that stays in a core's cache.
 DISTANCES = 1 << 24
+CACHED = 1 << 16
 
 
 @dataclass
@@ -64,15 +66,49 @@ def sampled_centroids(refs: DataFrame, dims: list[str], every: int) -> np.ndarra
 
 
 def trained_centroids(refs: DataFrame, dims: list[str], nlist: int, iterations: int = 30, seed: int = 42) -> np.ndarray:
-    """Lloyd's centroids from random rows."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
+    """Lloyd's centroids from random rows, of which no two are equal (so fewer, if fewer rows differ).
 
+    Equal rows are one point with a weight.  A round is one pass in which each task sums up its points by cluster.
+    """
     if not 1 <= nlist <= MAX_CLUSTERS:
         raise ValueError(f"nlist must be in 1..{MAX_CLUSTERS}")
-    x = VectorAssembler(inputCols=dims, outputCol="features").transform(refs.select(*dims))
-    model = KMeans(k=nlist, initMode="random", maxIter=iterations, seed=seed, tol=0.0).fit(x.select("features"))
-    return np.array(model.clusterCenters())
+    tasks = 2 * refs.sparkSession.sparkContext.defaultParallelism
+    once = refs.groupBy(*[F.col(d).cast("double").alias(d) for d in dims]).agg(F.count("*").alias("n"))
+    # Keys of -log(u) / n order points as if rows were drawn one after the other.
+    u = (F.pmod(F.xxhash64(F.lit(seed), *dims), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    points = stash(once.withColumn("turn", -F.log(u) / F.col("n")).repartition(tasks))
+    rows = points.orderBy("turn", *dims).limit(nlist).select(*dims).collect()
+    centroids = np.array(sorted(map(tuple, rows)), float).reshape(len(rows), len(dims))
+    for _ in range(iterations if len(rows) else 0):
+        new = weighted_means(points, centroids, dims)
+        if (new == centroids).all():
+            break
+        centroids = new
+    discard(points)
+    return centroids
+
+
+def weighted_means(points: DataFrame, centroids: np.ndarray, dims: list[str]) -> np.ndarray:
+    """The mean of each cluster's ``points`` (dims, n); a cluster without any keeps its centroid."""
+    # Half the squared distance, less the point's own norm, as one product.
+    against = np.vstack([-centroids.T, (centroids * centroids).sum(1) / 2])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, step = np.zeros((len(dims) + 1, len(centroids))), max(1, CACHED // len(centroids))
+        for b in batches:
+            n, x = b.column("n").to_numpy(), np.stack([*(b.column(d).to_numpy() for d in dims), np.ones(b.num_rows)], 1)
+            ci = np.concatenate([(x[lo : lo + step] @ against).argmin(1) for lo in range(0, len(x), step)] or [np.zeros(0, int)])
+            for d, w in enumerate((n, *(x[:, :-1] * n[:, None]).T)):
+                sums[d] += np.bincount(ci, w, len(centroids))
+        own = np.flatnonzero(sums[0])
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *map(pa.array, sums[:, own])], ["ci", "n", *dims])
+
+    kind = ", ".join(f"{d} double" for d in ("n", *dims))
+    found = points.select(*dims, "n").mapInArrow(run, f"ci int, {kind}").groupBy("ci").agg(*[F.sum(d).alias(d) for d in ("n", *dims)])
+    out = centroids.copy()
+    for ci, n, *total in found.collect():  # MAX_CLUSTERS at most
+        out[ci] = np.array(total) / n
+    return out
 
 
 def centroid_distances(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -89,11 +125,13 @@ def assign(refs: DataFrame, centroids: np.ndarray, dims: list[str]) -> DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            step = rows_at_a_time(centroids, 4096)
+            x, step = b[dims].to_numpy(float), max(1, CACHED // max(1, len(centroids)))
+            ci, least = np.zeros(len(b), np.int32), np.zeros(len(b))
             for lo in range(0, len(b), step):
-                part = b.iloc[lo : lo + step]
-                d = centroid_distances(part[dims].to_numpy(float), centroids)
-                yield part.assign(ci=d.argmin(1).astype(np.int32), cdist=np.rint(d.min(1)).astype(np.int64))
+                d = centroid_distances(x[lo : lo + step], centroids)
+                ci[lo : lo + step] = at = d.argmin(1)
+                least[lo : lo + step] = d[np.arange(len(d)), at]
+            yield b.assign(ci=ci, cdist=np.rint(least).astype(np.int64))
 
     return refs.mapInPandas(run, f"{refs.schema.simpleString()[7:-1]}, ci int, cdist bigint")
 
