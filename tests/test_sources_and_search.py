@@ -370,3 +370,29 @@ def test_trained_centroids_weigh_equal_rows(spark):
     assert sorted(found[:, 0].tolist()) in ([2.5, 9000.0], [0.0, 45100 / 15])
     assert len(ivf.trained_centroids(refs, INTS, 9, 3)) == 3
     assert ivf.trained_centroids(refs_of(spark, []), INTS, 4).shape == (0, 14)
+
+
+def test_pruned_single_precision_search_keeps_rounded_ties(spark, monkeypatch):
+    monkeypatch.setattr(knn, "CELL", (40, 40))
+    monkeypatch.setattr(knn, "LEAF", 4)
+    rng = np.random.default_rng(31)
+    x = (rng.integers(0, 3, (300, 14)) / np.float32(3)).astype(np.float32)  # thirds: sums round, and many are equal
+    names = [f"v{d}" for d in range(14)]
+    refs = spark.createDataFrame([(i, *map(float, v), bool(i % 3)) for i, v in enumerate(x)], "ref_id bigint, " + ", ".join(f"{c} float" for c in names) + ", is_fraud boolean")
+    q = refs.where("ref_id % 9 = 0").select(F.col("ref_id").alias("qid"), *names)
+    got = {}
+    for r in knn.float_knn(q, refs, names, 5, same_ids=True).collect():
+        got.setdefault(r["qid"], []).append((r["rank"], r["dist"], r["ref_id"]))
+    for i in range(0, 300, 9):
+        d = np.zeros(300, np.float32)
+        for k in range(14):
+            gap = x[:, k] - x[i, k]
+            d += gap * gap
+        want = sorted((float(d[j]), j) for j in range(300) if j != i)[:5]
+        assert sorted(got[i]) == [(n + 1, e, j) for n, (e, j) in enumerate(want)]
+    few = pa.table({"cell": [0] * 300, "part": [0] * 300, "ref_id": range(300), "is_fraud": [False] * 300, **{c: x[:, d] for d, c in enumerate(names)}})
+    cell = knn.Cell(knn.packed(few, names, "float", 6).to_pylist()[0], 14, "float")
+    seen, inner = [], cell.distances
+    cell.distances = lambda q, at: seen.append(len(q) * len(at)) or inner(q, at)
+    cell.search(x[:4], np.zeros(4), 6)
+    assert sum(seen) < 4 * 300
