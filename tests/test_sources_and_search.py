@@ -396,3 +396,14 @@ def test_pruned_single_precision_search_keeps_rounded_ties(spark, monkeypatch):
     cell.distances = lambda q, at: seen.append(len(q) * len(at)) or inner(q, at)
     cell.search(x[:4], np.zeros(4), 6)
     assert sum(seen) < 4 * 300
+
+
+def test_native_search_groups_references_into_cells(spark, monkeypatch):
+    monkeypatch.setattr(knn, "NATIVE_CELL", 50)
+    refs = refs_of(spark, [(i, i * 7 % 1000, False) for i in range(400)])
+    splits = knn.fitted(refs, INTS, 50, "int", 400)
+    rows = refs.withColumn("cell", splits.column(F.array(*INTS))).collect()
+    assert [r["cell"] for r in rows] == splits.cells(np.array([[r[c] for c in INTS] for r in rows])).tolist()
+    assert len({r["cell"] for r in rows}) == 8
+    found = knn.exact_knn(queries_of(spark, [(1, 501)]), refs, INTS, 2, native=True)
+    assert "Python" not in found._jdf.queryExecution().toString() and found.count() == 2
