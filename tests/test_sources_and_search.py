@@ -407,3 +407,17 @@ def test_native_search_groups_references_into_cells(spark, monkeypatch):
     assert len({r["cell"] for r in rows}) == 8
     found = knn.exact_knn(queries_of(spark, [(1, 501)]), refs, INTS, 2, native=True)
     assert "Python" not in found._jdf.queryExecution().toString() and found.count() == 2
+
+
+def test_features_make_each_text_once_and_stay_short_methods(spark, data):
+    from txrisk.functions.features import vector
+    from txrisk.sources import fixtures
+
+    v = fixtures.requests(spark, data).select("event_id", *vector(F.col("request"), fixtures.NORM))
+    held = spark.conf.get("spark.sql.debug.maxToStringFields")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    try:
+        plan = v._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.debug.maxToStringFields", held)
+    assert plan.count("date_format") == 2 and "lambda" in plan
