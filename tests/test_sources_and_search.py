@@ -421,3 +421,16 @@ def test_features_make_each_text_once_and_stay_short_methods(spark, data):
     finally:
         spark.conf.set("spark.sql.debug.maxToStringFields", held)
     assert plan.count("date_format") == 2 and "lambda" in plan
+
+
+def test_native_search_meets_boxes_once_and_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(knn, "NATIVE_CELL", 50)
+    plans = []
+    monkeypatch.setattr(knn, "stash", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or storage.stash(df))
+    refs = refs_of(spark, [(i, i * 7 % 1000, False) for i in range(400)])
+    found = knn.exact_knn(queries_of(spark, [(1, 501), (2, 900)]), refs, INTS, 2, native=True)
+    at = {i: i * 7 % 1000 for i in range(400)}
+    want = [(q, d, i) for q, x in ((1, 501), (2, 900)) for d, i in sorted(((at[i] - x) ** 2, i) for i in at)[:2]]
+    assert sorted((r["qid"], r["dist"], r["ref_id"]) for r in found.collect()) == want
+    met = [p for p in plans if "BroadcastNestedLoopJoin" in p]
+    assert len(met) == 1 and "REPARTITION_BY_NUM" in met[0]
