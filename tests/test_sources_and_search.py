@@ -434,3 +434,16 @@ def test_native_search_meets_boxes_once_and_in_many_tasks(spark, monkeypatch):
     assert sorted((r["qid"], r["dist"], r["ref_id"]) for r in found.collect()) == want
     met = [p for p in plans if "BroadcastNestedLoopJoin" in p]
     assert len(met) == 1 and "REPARTITION_BY_NUM" in met[0]
+
+
+def test_references_are_dealt_to_cells_in_one_python_pass(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(knn, "stash", lambda df: seen.append(df._jdf.queryExecution().executedPlan().toString()) or storage.stash(df))
+    monkeypatch.setattr(knn, "CELL", (50, 50))
+    monkeypatch.setattr(knn, "PART", 20)
+    refs = refs_of(spark, [(i, i * 7 % 1000 // 100, bool(i % 3)) for i in range(400)])
+    cells = knn._packed_cells(refs, INTS, "int", 400)
+    assert ["MapInArrow" in p for p in seen] == [True, False]
+    rows = cells.collect()
+    assert sorted(np.concatenate([np.frombuffer(r["ids"], "<i8") for r in rows]).tolist()) == list(range(400))
+    assert max(len(r["ids"]) // 8 for r in rows) <= 40 and len(rows) > 8
