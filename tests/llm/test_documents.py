@@ -1,5 +1,6 @@
 """Operators on documents, against brute force, with the odd cases of every table."""
 
+import contextlib
 import hashlib
 import re
 import zlib
@@ -11,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from txrisk.llm import hilbert, mixing, packing, pii, secret_scan, simhash, subword, tokens
+from txrisk.llm import common, hilbert, mixing, packing, pii, secret_scan, simhash, subword, tokens
 from txrisk.llm.packing import Packing
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, spans string, score double, _row int"
@@ -284,6 +285,40 @@ def test_copies_with_another_tail_are_met(spark):
     assert kept == {i for i, _ in rows} - linked
 
 
+def test_pairs_that_meet_at_many_anchors_are_rows_once(spark):
+    rng = np.random.default_rng(11)
+    rows = []
+    for anchor in range(400):  # runs of shingles that the same few texts share, now and then without one of them
+        for i in range(12):
+            if rng.random() < 0.95:
+                n = int(100 + 4 * i)
+                rows.append((anchor, i, n, int(rng.integers(0, 20)), bool(rng.random() < 0.5), i // 2))
+    met = spark.createDataFrame(rows, "anchor bigint, id bigint, n bigint, pos bigint, home boolean, label bigint")
+    at = defaultdict(list)
+    for r in rows:
+        at[r[0]].append(r[1:])
+    want = set()
+    for g in at.values():
+        for a, n, p, h, x in g:
+            for b, m, q, k, y in g:
+                if a < b and x != y and (h or k) and min(n, m) >= 0.8 * max(n, m) - 1e-9 and min(n - p, m - q) >= 0.8 / 1.8 * (n + m) - 1e-9:
+                    want.add((a, b))
+    got = [tuple(r) for r in simhash.group_pairs(met, 0.8).collect()]
+    assert want and len(got) == len(want) and set(got) == want == {tuple(r) for r in simhash.joined_pairs(met, 0.8).collect()}
+
+
+def test_a_worker_gives_back_what_stages_before_have_left(spark):
+    tokens.encoder(tokens.tokenizer_path())
+    common.forget()
+    assert not tokens._encoders
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    with contextlib.suppress(ValueError), common.arrow_rows(spark, 16):
+        assert spark.conf.get(name) == "16"
+        raise ValueError
+    assert spark.conf.get(name) == before
+
+
 def brute_ids(texts):
     from tokenizers import Tokenizer
 

@@ -17,7 +17,7 @@ repeated rows share a component; null ids never are a component's name unless al
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import KEY, discard, keyed, slices, stash, whole
+from .common import KEY, arrow_rows, discard, forget, keyed, partitions, slices, stash, whole
 from .graph import EDGES_EACH, anchored_links, components
 
 ROWS_AT_A_TIME = 1 << 15
@@ -194,6 +194,9 @@ ORDER_ROWS = 20_000
 ORDER_SHINGLES = 200_000
 #: So many row keys are broadcast (about 24 MB), more are shuffled.
 SMALL_ROWS = 1_000_000
+#: Texts in an Arrow batch, and texts whose first shingles make one partition: both bound the memory of a task.
+BATCH_ROWS = 1024
+ROWS_EACH = 2000
 #: Members of an anchor up to which they are compared without another order.
 GROUP = 32
 #: Bytes of a shingle's hash that are compared: two sets of 20,000 have a false match with chance 4e-4.
@@ -250,6 +253,47 @@ def similar(x: bytes, y: bytes, similarity: float) -> bool:
     return common > 0 and common >= similarity * (n + m - common) - 1e-9
 
 
+def may_be_close(n: Column, pos: Column, m: Column, at: Column, similarity: float) -> Column:
+    """Whether sets of n and m may be that similar if the first shingle they have in common is at pos and at."""
+    # Enough shingles must be left from here on: that holds at the first one that a true pair has in common.
+    need = F.lit(similarity / (1 + similarity)) * (n + m) - 1e-9
+    return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (F.least(n - pos, m - at) >= need)
+
+
+def to_compare(here: Callable[[str], Column], there: Callable[[str], Column], similarity: float) -> Column:
+    """Whether two members of an anchor are a pair to compare, the smaller id here."""
+    return (
+        (here("id") < there("id"))
+        & (here("label") != there("label"))
+        & (here("home") | there("home"))
+        & may_be_close(here("n"), here("pos"), there("n"), there("pos"), similarity)
+    )
+
+
+def joined_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): the pairs to compare of ``met`` (anchor, id, n, pos, home, label), once for each anchor."""
+    here, there = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    met = met.alias("l").join(met.alias("r"), (here("anchor") == there("anchor")) & to_compare(here, there, similarity))
+    return met.select(here("id").alias("a"), there("id").alias("b"))
+
+
+def group_pairs(met: DataFrame, similarity: float) -> DataFrame:
+    """The same pairs, each once, where anchors are few members each (``GROUP``).
+
+    Texts that share a run of shingles meet at as many anchors.  So each member brings a list of its partners at an
+    anchor, equal lists count once, and only a member's whole list becomes rows.
+    """
+    who = met.groupBy("anchor").agg(F.collect_list(F.struct("id", "n", "pos", "home", "label")).alias("who"))
+
+    def partners(x: Column) -> Column:
+        close = F.filter("who", lambda y: to_compare(x.getField, y.getField, similarity))
+        return F.struct(x["id"].alias("a"), F.array_sort(F.transform(close, lambda y: y["id"])).alias("bs"))
+
+    lists = who.select(F.filter(F.transform("who", partners), lambda p: F.size(p["bs"]) > 0).alias("lists")).select(F.inline("lists"))
+    whole_lists = lists.distinct().groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("bs"))).alias("bs"))
+    return whole_lists.select("a", F.explode("bs").alias("b"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) -> DataFrame:
     """(_file, _at, doc_id, component, keep) of ``docs`` (_file, _at, doc_id, text), where the first two are a key.
 
@@ -260,6 +304,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_128_intdigest
 
+        forget()
         for b in slices(batches):
             texts = [(t or "").encode() for t in b.column("text").to_pylist()]
             h = [xxh3_128_intdigest(b" ".join(t.lower().split())) for t in texts]
@@ -282,6 +327,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     often = docs.sparkSession.sparkContext.broadcast(frequent(texts, min(1.0, ORDER_ROWS / max(1, n_members)), size))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for b in slices(batches):
             own = [np.unique(shingle_hashes((t or "").encode(), size)) for t in b.column("text").to_pylist()]
             first = [first_shingles(x, similarity, often.value) for x in own]
@@ -328,6 +374,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     known = components(closest)
 
     found = texts.mapInArrow(records, "anchor bigint, id bigint, place bigint")
+    found = found.repartition(max(partitions(docs.sparkSession), n_members // ROWS_EACH), "anchor")
     n, pos = F.shiftright("place", 32), F.col("place").bitwiseAND(F.lit((1 << 32) - 1))
     at_home = pos < n - F.ceil(F.lit(similarity / (1 + similarity)) * 2 * n - 1e-9) + 1
     # Most shingles stand in one text; a text has one record at an anchor, so no anchor holds a large part of them.
@@ -339,11 +386,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     met = met.where("met > 1 and lead is not null")
     rows = stash(met.select("anchor", "id", n.alias("n"), pos.alias("pos"), at_home.alias("home"), "lead", F.col("lead.id").alias("leader"), "met"))
 
-    def close(n: Column, pos: Column, m: Column, at: Column) -> Column:
-        # Enough shingles must be left from here on: that holds at the first one that a true pair has in common.
-        need = F.lit(similarity / (1 + similarity)) * (n + m) - 1e-9
-        return (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9) & (F.least(n - pos, m - at) >= need)
-
     def apart(known: DataFrame) -> DataFrame:
         """``rows`` with the component of each member, and of its anchor's leader as ``chief``."""
         label = known.withColumnRenamed("component", "label")
@@ -352,7 +394,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
         return out.withColumns({"label": F.coalesce("label", "id"), "chief": F.coalesce("chief", "leader")})
 
     # Each member that is not linked with its anchors' leaders is compared with the one that it shares most anchors with.
-    some = apart(known).where("label <> chief").where(close(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos")))
+    some = apart(known).where("label <> chief").where(may_be_close(F.col("n"), F.col("pos"), F.col("lead.n"), F.col("lead.pos"), similarity))
     best = some.groupBy("id", "leader").agg(F.count("*").alias("k")).groupBy(F.col("id").alias("a"))
     tried = stash(best.agg(F.max_by("leader", F.struct("k", -F.col("leader"))).alias("b")))
     led = verify(tried)
@@ -382,20 +424,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8) ->
     first = place < F.col("n") - F.ceil(F.lit(similarity) * F.col("n") - 1e-9) + 1
     home = place < F.col("n") - F.ceil(F.lit(similarity / (1 + similarity)) * 2 * F.col("n") - 1e-9) + 1
     fine = stash(shown.where(first).select("anchor", "id", "n", place.alias("pos"), home.alias("home"), "label"))
-    here, there = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
-
-    def pairs(x: DataFrame) -> DataFrame:
-        met = x.alias("l").join(
-            x.alias("r"),
-            (here("anchor") == there("anchor"))
-            & (here("id") < there("id"))
-            & (here("label") != there("label"))
-            & (here("home") | there("home"))
-            & close(here("n"), here("pos"), there("n"), there("pos")),
-        )
-        return met.select(here("id").alias("a"), there("id").alias("b"))
-
-    rest = pairs(left.where(F.col("met") <= GROUP)).union(pairs(fine)).distinct()
+    rest = group_pairs(left.where(F.col("met") <= GROUP), similarity).union(joined_pairs(fine, similarity)).distinct()
     more = verify(rest.join(tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
     discard(rows, tried, known, left, asked, fine)
     linked = components(closest.union(led).union(more))
@@ -416,7 +445,8 @@ def drop_near_duplicates(docs: DataFrame, size: int = 5, similarity: float = 0.8
     Rows without words are equal word by word, so one of them stays.
     """
     rows = keyed(docs)
-    judged = near_duplicates(rows.select(*KEY, F.col("r")["doc_id"].alias("doc_id"), whole(F.col("r")["text"]).alias("text")), size, similarity)
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        judged = near_duplicates(rows.select(*KEY, F.col("r")["doc_id"].alias("doc_id"), whole(F.col("r")["text"]).alias("text")), size, similarity)
     gone = judged.where("not keep").select(*KEY)
     # Few keys are broadcast, so that texts stay where they are.
     gone = F.broadcast(gone) if gone.count() <= SMALL_ROWS else gone

@@ -12,6 +12,8 @@ import struct
 import numpy as np
 import regex
 
+from .common import CACHES
+
 #: The tokenizer's own pre-tokenization pattern (a fixed value of its file).
 PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 #: Control characters that str.split() takes as white space and the tokenizer does not.
@@ -19,6 +21,7 @@ ODD_SPACE = re.compile("[\x1c-\x1f]")
 WORDS_KEPT = 200_000
 
 _encoders: dict[str, WordEncoder] = {}
+CACHES.append(_encoders.clear)
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
