@@ -34,6 +34,8 @@ BUCKETS = 1 << 17
 NGRAMS = (3, 4)
 SAMPLE = 600
 FOLDS = 5
+#: Steps of the descent at least: a few labels are read more often.
+LEAST_STEPS = 240
 #: Bytes of text that are held as arrays at a time.
 PIECE = 1 << 16
 
@@ -149,7 +151,10 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int = 8
     out, bias = np.zeros((dim, 2)), np.zeros(2)
     # Both classes weigh the same, whatever their numbers in the sample.
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
-    step, batch, steps = 0, 32, epochs * -(-len(y) // 32)
+    step, batch = 0, 32
+    each = -(-len(y) // batch)
+    epochs = max(epochs, -(-LEAST_STEPS // each))
+    steps = epochs * each
     for _ in range(epochs):
         turn = rng.permutation(len(y))
         for lo in range(0, len(turn), batch):
